@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import line_dedup, mixing, packing, sharding, simhash, token_files
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), temperature=0.5, seed=42)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip_digest(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
@@ -30,9 +34,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(documents(spark, sf_dir), shards=16)
+    text_crc32 = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", text_crc32.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated_lines(documents(spark, sf_dir)).select("doc_id", "text", "removed_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op6_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op4_token_files, op6_simhash, op9_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -204,6 +204,6 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None, id_col: str =
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     found = scratch.save(near_duplicates(docs, scratch=scratch, id_col=id_col, text_col=text_col, **parameters), "components")
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    kept = keyed.join(stays, keyed[id_col].eqNullSafe(stays["_id"]) & (keyed["_hash"] == stays["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["text_hash"] == stays["_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
