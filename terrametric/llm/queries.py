@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, sharding, simhash, token_files
+from . import langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
 from .common import documents
 
 
@@ -34,6 +34,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir)).select("doc_id", *quality.STATISTICS, "base_failed", "kept")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(documents(spark, sf_dir), shards=16)
     text_crc32 = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -45,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op4_token_files, op6_simhash, op9_sharding, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op4_token_files, op6_simhash, op7_quality, op8_language_id, op9_sharding, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
