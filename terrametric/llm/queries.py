@@ -7,26 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
+from . import langid, line_dedup, metric_join, mixing, packing, pii, quality, sharding, simhash, token_files
 from .common import documents
 
 
-def _vocabulary(name: str) -> str:
+#: A deployment sets its own secret; this one makes the query's results repeatable.
+SURROGATE_KEY = b"terrametric-surrogates"
+
+
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return packing.packed_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), temperature=0.5, seed=42)
 
 
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.roundtrip_digest(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return token_files.roundtrip_digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(documents(spark, sf_dir), SURROGATE_KEY).select("doc_id", "text", "spans")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op4_token_files, op6_simhash, op7_quality, op8_language_id, op9_sharding, op10_line_dedup)}
+    import corpus_pipeline
+
+    ops = (op1_best_fit_packing, op2_mixing, op3_metric_join, op4_token_files, op5_pii_surrogates, op6_simhash, op7_quality, op8_language_id, op9_sharding, op10_line_dedup)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
