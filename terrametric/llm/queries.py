@@ -43,7 +43,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), radius=3, words_a_shingle=3)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print.w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Near-duplicates by SimHash fingerprints and covering locality-sensitive hashing.
 
 A covering family of bit masks sends every pair of fingerprints within the
-radius to the same key in at least one table, so no link is lost: the bits are
-labelled by vectors of GF(2)^(radius+1), a mask holds the bits whose label has
-odd product with one nonzero vector, and the labels of at most `radius`
-differing bits always have a vector that is orthogonal to all of them.
+radius to the same key in at least one table, so no link is lost. The bits are
+cut into parts; of a pair within the radius, one part has at most radius /
+parts differing bits. In a part of radius r the bits are labelled by vectors of
+GF(2)^(r+1), and a mask holds the bits whose label has odd product with one
+nonzero vector; the labels of at most r differing bits always have a vector
+that is orthogonal to all of them, and its mask sees no difference. One part
+gives few tables with long keys, more parts let the radius be large.
 
 Only distinct fingerprints enter the tables, so exact copies cost nothing. A
 key's fingerprints are compared in one task if they are few; a key with more
@@ -22,6 +25,7 @@ ignored otherwise, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,34 +37,49 @@ from pyspark.sql import functions as F
 from .common import Scratch, ready_workers
 from .components import connected_components
 
-BITS = 64
-#: Fixed value: the seed of XXH64 over shingles.
+WORD = 64
+#: Fixed value: the seed of XXH64 over shingles; further words of a fingerprint take the next seeds.
 SEED = 42
 #: Fingerprints of one key that are compared in one task.
 KEY_LIMIT = 2048
 
 
-def fingerprint(text: bytes | None, words_a_shingle: int = 3) -> int:
-    """SimHash of UTF-8 text: lower-cased A-Z, words between ASCII white space, shingles with repeats."""
-    import xxhash
+def radius_of(similarity: float, bits: int, share: float = 0.85) -> int:
+    """Bits within which about this share of pairs of that shingle-set similarity lie, for sets of equal size."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    low = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(1))
+    k = 0
+    while low < share:
+        k += 1
+        low += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+    return k
+
 
+def shingles_of(text: bytes | None, words_a_shingle: int) -> list[bytes]:
+    """Of UTF-8 text, lower-cased A-Z: runs of words between ASCII white space, repeats included, joined by spaces."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     if len(words) <= words_a_shingle:
-        shingles = [b" ".join(words)]
-    else:
-        # Shingles are slices of the words joined by single spaces.
-        line = b" ".join(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: 1 - words_a_shingle].tolist()
-        shingles = [line[a:b] for a, b in zip(starts, ends[words_a_shingle - 1 :].tolist(), strict=True)]
-    total, n = np.zeros(BITS, np.int64), len(shingles)
+        return [b" ".join(words)] if words else []
+    # Shingles are slices of the words joined by single spaces.
+    line = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: 1 - words_a_shingle].tolist()
+    return [line[a:b] for a, b in zip(starts, ends[words_a_shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, words_a_shingle: int = 3, seed: int = SEED) -> int:
+    """64 bits, each set if it is set in over half of the shingles' hashes; zero without words."""
+    return _fingerprint(shingles_of(text, words_a_shingle), seed)
+
+
+def _fingerprint(shingles: list[bytes], seed: int) -> int:
+    import xxhash
+
+    total, n = np.zeros(WORD, np.int64), len(shingles)
     for at in range(0, n, 1 << 16):  # a very long text is counted in parts
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles[at : at + (1 << 16)], repeat(SEED)), np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += _column_sums(bits)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles[at : at + (1 << 16)], repeat(seed)), np.uint64)
+        total += _column_sums(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
@@ -69,124 +88,169 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     n = len(bits) // 255 * 255
     out = bits[n:].sum(axis=0, dtype=np.int64)
     if n:
-        out += bits[:n].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        out += bits[:n].reshape(-1, 255, WORD).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return out
 
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
-    """2^(radius+1) - 1 masks; any `radius` bits are all outside of some mask."""
-    labels = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(bits) if ((i % labels + 1) & v).bit_count() % 2) for v in range(1, labels + 1)]
+def covering_masks(radius: int, bits: int = WORD, parts: int = 1) -> list[int]:
+    """Masks of which, for any `radius` bits, one in some part holds none of them."""
+    r = radius // parts
+    labels = (1 << (r + 1)) - 1
+    out = []
+    for part in range(parts):
+        own = range(part, bits, parts)
+        out += [sum(1 << i for k, i in enumerate(own) if ((k % labels + 1) & v).bit_count() % 2) for v in range(1, labels + 1)]
+    return out
+
+
+def refined_masks(mask: int, radius: int, bits: int) -> list[int]:
+    """The mask with one of radius + 1 groups of the other bits each."""
+    rest = [i for i in range(bits) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in rest[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def _words(x: int, n: int) -> list[int]:
+    return [x >> (WORD * k) & (2**WORD - 1) for k in range(n)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def refined_masks(mask: int, radius: int) -> list[int]:
-    """The mask with one of radius + 1 groups of the other bits each."""
-    rest = [i for i in range(BITS) if not mask >> i & 1]
-    return [mask | sum(1 << i for i in rest[k :: radius + 1]) for k in range(radius + 1)]
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits between all rows of two matrices of words."""
+    return sum(np.bitwise_count(a[:, k, None] ^ b[None, :, k]) for k in range(a.shape[1]))
 
 
 def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join what pairs within the radius join, at most one less than there are prints."""
-    label, links = np.arange(len(prints)), []
-    for i in range(len(prints) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius)
-        own = label[i]
-        for other in np.unique(label[near]):
-            if other != own:
-                j = near[label[near] == other][0]
-                links.append((int(prints[i]), int(prints[j])))
-                label[label == other] = own
+    """Places of links that join what pairs within the radius join, at most one less than there are prints."""
+    n, links = len(prints), []
+    label = np.arange(n)
+    for at in range(0, n, 256):
+        near = _distances(prints[at : at + 256], prints[at:]) <= radius
+        near[np.arange(len(near)), np.arange(len(near))] = False
+        for i in np.flatnonzero(near.any(axis=1)):
+            js = at + np.flatnonzero(near[i])
+            for other in np.unique(label[js]):
+                if other != label[at + i]:
+                    links.append((at + int(i), int(js[label[js] == other][0])))
+                    label[label == other] = label[at + i]
     return links
 
 
-def _scan(radius: int, limit: int):
-    """Over rows sorted by (mask, key): links of small keys (kind 0), finer keys of large ones (kind 1)."""
+def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
+    """Over rows (table, key, words) sorted by key: links of small keys, finer keys of large ones.
 
-    def rows(kind: int, a: list[int] | np.ndarray, b, c=None) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(c if c is not None else [0] * n, np.int64))], ["kind", "a", "b", "c"])
-
-    def finer(mask: int, prints: np.ndarray) -> list[pa.RecordBatch]:
-        out = []
-        for m in refined_masks(mask & (2**64 - 1), radius):
-            keys = (prints & np.uint64(m)).view(np.int64)
-            out.append(rows(1, np.full(len(prints), _signed(m)), keys, prints.view(np.int64)))
-        return out
+    A table's number at a level is its parent's times radius + 1 and its own.
+    Out come rows (kind, numbers): kind 0 two fingerprints' words, kind 1 a
+    table, a key and a fingerprint's words.
+    """
+    bits, width = words * WORD, 2 + 2 * words
+    names = ["kind", *(f"n{k}" for k in range(width - 1))]
+
+    def mask_of(table: int) -> int:
+        path = []
+        for _ in range(level):
+            table, c = divmod(table, radius + 1)
+            path.append(c)
+        mask = masks[table]
+        for c in reversed(path):
+            mask = refined_masks(mask, radius, bits)[c]
+        return mask
+
+    def batch(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        columns = [*columns, *[np.zeros(n, np.int64)] * (width - 1 - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names)
+
+    def finer(table: int, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for c, mask in enumerate(refined_masks(mask_of(table), radius, bits)):
+            key = np.zeros(len(prints), np.uint64)
+            for k, m in enumerate(_words(mask, words)):
+                key = (key ^ (prints[:, k] & np.uint64(m))) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            yield batch(1, [np.full(len(prints), table * (radius + 1) + c, np.int64), key, *prints.T])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, large = np.empty(0, np.uint64), None, False
+        held, at, large = np.empty((0, words), np.uint64), None, False
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2 and not large:
-                return
             if large:
                 yield from finer(at[0], held)
-            elif links := _forest(held, radius):
-                u, v = np.array(links, np.uint64).view(np.int64).reshape(-1, 2).T
-                yield rows(0, np.ascontiguousarray(u), np.ascontiguousarray(v))
-
-        for batch in batches:
-            mask, key, prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            prints = np.ascontiguousarray(prints).view(np.uint64)
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+            elif len(held) > 1 and (links := _forest(held, radius)):
+                u, v = np.array(links).T
+                yield batch(0, [*held[u].T, *held[v].T])
+
+        for b in batches:
+            table, key, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            prints = np.stack([np.ascontiguousarray(c).view(np.uint64) for c in rest], axis=1)
+            new = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
             edges = [0, *new.tolist(), len(prints)]
-            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                here = (int(mask[a]), int(key[a])) if b > a else at
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                here = (int(table[a]), int(key[a])) if z > a else at
                 if here != at:
-                    yield from close()
-                    held, at, large = prints[a:b], here, False
+                    if large or len(held) > 1:
+                        yield from close()
+                    held, at, large = prints[a:z], here, False
                 else:
-                    held = np.concatenate([held, prints[a:b]])
-                if len(held) > limit and (mask_bits := at[0] & (2**64 - 1)).bit_count() < BITS - limit.bit_length() + 1:
-                    yield from finer(mask_bits, held)  # what is held stays bounded
+                    held = np.concatenate([held, prints[a:z]])
+                if len(held) > limit and bits - mask_of(at[0]).bit_count() >= limit.bit_length():
+                    yield from finer(at[0], held)  # what is held stays bounded
                     held, large = held[:0], True
         yield from close()
 
-    return scan
+    return scan, ", ".join(["kind int", *(f"{n} long" for n in names[1:])])
 
 
-def links_within(prints: DataFrame, radius: int, scratch: Scratch, limit: int = KEY_LIMIT) -> DataFrame:
+def links_within(prints: DataFrame, radius: int, scratch: Scratch, words: int = 1, parts: int = 1, limit: int = KEY_LIMIT) -> DataFrame:
     """(u, v): links between the distinct fingerprints `print` that join all pairs within the radius."""
     ready_workers(prints.sparkSession)
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    rows = prints.select(F.explode(masks).alias("mask"), "print").select("mask", F.col("mask").bitwiseAND(F.col("print")).alias("key"), "print")
-    links, k = None, 0
+    masks = covering_masks(radius, words * WORD, parts)
+    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), *[F.lit(_signed(m)).alias(f"m{k}") for k, m in enumerate(_words(mask, words))]) for t, mask in enumerate(masks)])
+    own = [F.col(f"print.w{k}") for k in range(words)]
+    rows = prints.select("print", F.explode(tables).alias("m")).select(F.col("m.t").alias("n0"), F.xxhash64(*[p.bitwiseAND(F.col(f"m.m{k}")) for k, p in enumerate(own)]).alias("n1"), *[p.alias(f"n{2 + k}") for k, p in enumerate(own)])
+    node = lambda first: F.struct(*[F.col(f"n{first + k}").alias(f"w{k}") for k in range(words)])
+    links, level = None, 0
     while True:
-        found = scratch.save(rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_scan(radius, limit), "kind int, a long, b long, c long"), f"scan-{k}")
-        now = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        scan, schema = _scan(masks, level, radius, words, limit)
+        found = scratch.save(rows.repartition("n0", "n1").sortWithinPartitions("n0", "n1").mapInArrow(scan, schema), f"scan-{level}")
+        now = found.where("kind = 0").select(node(0).alias("u"), node(words).alias("v"))
         links = now if links is None else links.unionByName(now)
-        rows = found.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("key"), F.col("c").alias("print"))
+        rows = found.where("kind = 1").select(*[f"n{k}" for k in range(2 + words)])
         if rows.isEmpty():
             return links
-        k += 1
+        level += 1
 
 
-def fingerprints(docs: DataFrame, words_a_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, print): a row per input row; print is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_a_shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, print): a row per input row; print has the fingerprint's words as signed longs."""
     ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words_a_shingle) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "text_hash", "print"])
+            prints = []
+            for t in batch.column(2):
+                shingles = shingles_of(t.as_buffer().to_pybytes() if t.is_valid else None, words_a_shingle)
+                prints.append([_fingerprint(shingles, SEED + k) for k in range(words)])
+            columns = np.array(prints, np.uint64).reshape(-1, words).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["doc_id", "text_hash", *(f"w{k}" for k in range(words))])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, print long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    found = given.mapInArrow(run, ", ".join(["doc_id long", "text_hash long", *(f"w{k} long" for k in range(words))]))
+    return found.select("doc_id", "text_hash", F.struct(*[f"w{k}" for k in range(words)]).alias("print"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words_a_shingle: int = 3, scratch: Scratch | None = None, limit: int = KEY_LIMIT, **columns: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, words_a_shingle: int = 3, words: int = 1, parts: int = 1, scratch: Scratch | None = None, limit: int = KEY_LIMIT, **columns: str) -> DataFrame:
     """(doc_id, text_hash, print, root, component_id): a row per input row.
 
-    root is a fingerprint that tells components apart; component_id is the smallest doc_id among all rows whose fingerprints are
+    words: 64-bit words of a fingerprint; parts: into how many its bits are cut
+    for the tables. root is a fingerprint that tells components apart; component_id is the smallest doc_id among all rows whose fingerprints are
     joined by links of at most `radius` differing bits.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    found = scratch.save(fingerprints(docs, words_a_shingle, **columns), "prints")
+    found = scratch.save(fingerprints(docs, words_a_shingle, words, **columns), "prints")
     distinct = scratch.save(found.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links_within(distinct.select("print"), radius, scratch, limit), scratch)
+    roots = connected_components(links_within(distinct.select("print"), radius, scratch, words, parts, limit), scratch)
     # A few prints are linked; the others are components of their own.
     member = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     joined = roots.select(F.col("node").alias("print"), "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct())
