@@ -77,6 +77,12 @@ class Scratch:
                 raise
 
 
+def carried(docs: DataFrame, *added: str) -> Column:
+    """All input columns as one struct `row`, but for those of which a result column takes the name."""
+    taken = {a.lower() for a in added}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).alias("row")
+
+
 def wide_hash(*cols: Column | str) -> list[Column]:
     """128 bits over the columns as two longs, for keys that must not collide at corpus scale."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("\u0001"), *cols)]

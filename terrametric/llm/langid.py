@@ -13,8 +13,8 @@ the id at a rate a language; its size is bounded by `max_words` and
 Defined results: `und` with score 0 for null text, text without letters, and
 where nothing was learned; ties go to the language that sorts first; labelled
 rows with null text teach nothing; an empty table gives an empty result;
-repeated rows are predicted each; other columns are carried along, whatever
-their names.
+repeated rows are predicted each; other columns are carried along, but for one
+named like a result column.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ready_workers
+from .common import Scratch, carried, ready_workers
 
 UNKNOWN = "und"
 LONGEST_GRAM = 5
@@ -150,7 +150,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rows = docs.select(F.struct("*").alias("row")).withColumn("found", predict(F.col("row")[text_col]))
+    rows = docs.select(carried(docs, "lang_pred", "score")).withColumn("found", predict(F.col("row")[text_col]))
     return rows.select("row.*", "found.lang_pred", "found.score")
 
 

@@ -16,7 +16,7 @@ documents with fewer than three lines with a word are left as they are; null
 text stays null; rows equal in id and text count as one document and are
 treated alike; a null id orders before all others; a document whose lines are
 all removed keeps an empty text; an empty table gives an empty result; other
-columns are carried along, whatever their names.
+columns are carried along, but for one named like a result column.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready_workers
+from .common import carried, ready_workers
 
 WINDOW = 3
 #: Fixed value: what is cut from both ends of a line, ASCII white space but for the line feed.
@@ -87,7 +87,7 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         done = [without_lines(t, s) if s is not None else (None, 0) for t, s in zip(text, starts, strict=True)]
         return pd.DataFrame(done, columns=["text", "removed"])
 
-    numbered = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    numbered = docs.select(carried(docs, "removed_lines"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
     later = later_occurrences(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
     joined = numbered.join(later, numbered["doc_id"].eqNullSafe(later["_id"]) & (numbered["text_hash"] == later["_hash"]), "left").select("row", "starts")
     # Only texts with something to remove go to Python.

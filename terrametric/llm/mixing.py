@@ -15,7 +15,7 @@ Defined results: a null source is a source of its own; sources without a weight
 get none of the target where weights are given; null text counts one row, or no
 characters; rows with the same id get the same count; a null id hashes like the
 empty string; an empty table or a target of zero gives an empty result; other
-columns are carried along, whatever their names.
+columns are carried along, but for one named like a result column.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, carried
 
 #: Up to so many sources the rates (about 700 bytes each) are broadcast.
 MAX_BROADCAST_SOURCES = 10_000
@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     measure = F.coalesce(F.length(text_col), F.lit(0)) if by_chars else F.lit(1)
     rates = scratch.save(source_rates(docs, source_col, weights, temperature, total, measure, scratch), "rates")
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(source_col).alias("own_source"))
+    keyed = docs.select(carried(docs, "copies", "copy", "shuffle_key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(source_col).alias("own_source"))
     same = keyed["own_source"].eqNullSafe(rates["source"])
     if rates.count() <= MAX_BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(rates), same)

@@ -19,8 +19,8 @@ ending that suits the gender, in the script of the original.
 
 Defined results: null text stays null; texts without entities stay as they are;
 rows that share id and text are treated alike; a null id is a value of its own;
-an empty table gives an empty result; other columns are carried along, whatever
-their names. Where kinds overlap, the one listed first in KINDS wins.
+an empty table gives an empty result; other columns are carried along, but for
+one named like a result column. Where kinds overlap, the one listed first in KINDS wins.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ready_workers
+from .common import Scratch, carried, ready_workers
 
 #: Titles by the gender they tell.
 TITLES = {"m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Госпожа"), "n": ("Dr", "Prof", "Professor")}
@@ -265,7 +265,7 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     ready_workers(spark)
     scratch = scratch or Scratch(spark, "pii")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    keyed = docs.select(carried(docs, "spans"), F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,7 +19,7 @@ Defined results: null text has no words; a null language or source makes a
 group of its own; a group of fewer than `min_group` texts that pass the base
 rules is too small for an estimate and rejects nothing; an empty table gives
 an empty result; repeated rows are judged each; other columns are carried
-along, whatever their names.
+along, but for one named like a result column.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, Scratch
+from .common import WORD_BREAK, Scratch, carried
 
 #: Up to so many groups the estimates (some 200 bytes each) are broadcast.
 MAX_BROADCAST_GROUPS = 50_000
@@ -151,7 +151,7 @@ def estimates(rows: DataFrame, scratch: Scratch, steps: int = 4, min_group: int
 def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 4, min_group: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
     """The input rows but for their texts, with the base statistics, base_failed, kept and d2."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    prepared = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    prepared = docs.select(carried(docs, *STATISTICS, "base_failed", "kept", "d2"), F.col(text_col).alias("text"))
     counted = statistics(prepared).select(F.struct("row", *STATISTICS).alias("given"), F.col(f"row.{lang_col}").alias("lang"), F.col(f"row.{source_col}").alias("source"), *STATISTICS)
     # What is written is the statistics and the row but for its text, which no later step reads.
     rows = counted.select(F.col("given").withField("row", F.col("given.row").dropFields(text_col)).alias("given"), "lang", "source", base_failed().alias("base_failed"), *transformed())

@@ -17,7 +17,7 @@ Only histograms of a few thousand probes reach the driver.
 Defined results: null text counts as empty; rows that share id and text have
 the same key and lie together in any order; a null id is a value of its own;
 an empty table gives an empty result; more shards than rows leaves shards
-empty; other columns are carried along, whatever their names.
+empty; other columns are carried along, but for one named like a result column.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ready_workers
+from .common import Scratch, carried, ready_workers
 
 KEY_BITS = 128
 _HALF = 1 << 63
@@ -134,7 +134,7 @@ def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_b
     ready_workers(spark)
     scratch = scratch or Scratch(spark, "sharding")
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2"), size.alias("size"))
+    keyed = docs.select(carried(docs, "size", "shard", "slot"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2"), size.alias("size"))
     keys = scratch.save(keyed.select("k1", "k2", "size"), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     parts = max(1, min(max_parts_a_shard, math.ceil(total / shards / part_bytes)))
