@@ -10,10 +10,12 @@ that is orthogonal to all of them, and its mask sees no difference. One part
 gives few tables with long keys, more parts let the radius be large.
 
 Only distinct fingerprints enter the tables, so exact copies cost nothing. A
-key's fingerprints are compared in one task if they are few; a key with more
-is split by the bits outside its mask, into radius + 1 groups of bits of which
-a pair within the radius agrees on one. That repeats until every key is small,
-which it must become once few bits are left. Tasks give a spanning forest of
+key's fingerprints are compared in one task if they are few. A key with more is
+split by the bits outside its mask, into radius + 1 groups of bits of which a
+pair within the radius agrees on one; that repeats until keys are small or so
+few bits are left that all are within the radius. Where many of a key's pairs
+are near copies, which no bits part, its fingerprints are dealt into blocks
+instead, and every two blocks meet in a task. Tasks give a spanning forest of
 the links, not all pairs.
 
 Defined results: null text is an empty text; texts without words have
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ready_workers
+from .common import Scratch, carried, ready_workers
 from .components import connected_components
 
 WORD = 64
@@ -42,6 +44,8 @@ WORD = 64
 SEED = 42
 #: Fingerprints of one key that are compared in one task.
 KEY_LIMIT = 2048
+#: Share of pairs within the radius from which a full key is compared by blocks: splitting would not part near copies.
+DENSE = 0.01
 
 
 def radius_of(similarity: float, bits: int, share: float = 0.85) -> int:
@@ -139,11 +143,12 @@ def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
-    """Over rows (table, key, words) sorted by key: links of small keys, finer keys of large ones.
+    """Over rows (table, key, words) sorted by key: links of small keys, what becomes of large ones.
 
     A table's number at a level is its parent's times radius + 1 and its own.
     Out come rows (kind, numbers): kind 0 two fingerprints' words, kind 1 a
-    table, a key and a fingerprint's words.
+    table, a key and a fingerprint's words for the next level, kind 2 the same
+    for a comparison by blocks. Without a limit all keys are compared at once.
     """
     bits, width = words * WORD, 2 + 2 * words
     names = ["kind", *(f"n{k}" for k in range(width - 1))]
@@ -171,12 +176,24 @@ def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
                 key ^= key >> np.uint64(29)
             yield batch(1, [np.full(len(prints), table * (radius + 1) + c, np.int64), key, *prints.T])
 
+    def crowd(table: int, key: int, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield batch(2, [np.full(len(prints), table, np.int64), np.full(len(prints), key, np.int64), *prints.T])
+
+    def way(table: int, prints: np.ndarray) -> str:
+        """How a key with too many fingerprints goes on, by what its mask leaves and by some of its pairs."""
+        if bits - mask_of(table).bit_count() <= radius:
+            return "chain"  # all are within the radius
+        near = (_distances(prints[:256], prints) <= radius).mean()
+        return "blocks" if near >= DENSE else "finer"
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, large = np.empty((0, words), np.uint64), None, False
+        held, at, mode = np.empty((0, words), np.uint64), None, ""
 
         def close() -> Iterator[pa.RecordBatch]:
-            if large:
+            if mode == "finer":
                 yield from finer(at[0], held)
+            elif mode == "blocks":
+                yield from crowd(*at, held)
             elif len(held) > 1 and (links := _forest(held, radius)):
                 u, v = np.array(links).T
                 yield batch(0, [*held[u].T, *held[v].T])
@@ -189,14 +206,19 @@ def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 here = (int(table[a]), int(key[a])) if z > a else at
                 if here != at:
-                    if large or len(held) > 1:
+                    if mode or len(held) > 1:
                         yield from close()
-                    held, at, large = prints[a:z], here, False
+                    held, at, mode = prints[a:z], here, ""
                 else:
                     held = np.concatenate([held, prints[a:z]])
-                if len(held) > limit and bits - mask_of(at[0]).bit_count() >= limit.bit_length():
-                    yield from finer(at[0], held)  # what is held stays bounded
-                    held, large = held[:0], True
+                if limit and len(held) > limit:  # what is held stays bounded
+                    mode = mode or way(at[0], held)
+                    if mode == "chain":
+                        yield batch(0, [*held[:-1].T, *held[1:].T])
+                        held = held[-1:]
+                    else:
+                        yield from finer(at[0], held) if mode == "finer" else crowd(*at, held)
+                        held = held[:0]
         yield from close()
 
     return scan, ", ".join(["kind int", *(f"{n} long" for n in names[1:])])
@@ -209,14 +231,26 @@ def links_within(prints: DataFrame, radius: int, scratch: Scratch, words: int =
     tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), *[F.lit(_signed(m)).alias(f"m{k}") for k, m in enumerate(_words(mask, words))]) for t, mask in enumerate(masks)])
     own = [F.col(f"print.w{k}") for k in range(words)]
     rows = prints.select("print", F.explode(tables).alias("m")).select(F.col("m.t").alias("n0"), F.xxhash64(*[p.bitwiseAND(F.col(f"m.m{k}")) for k, p in enumerate(own)]).alias("n1"), *[p.alias(f"n{2 + k}") for k, p in enumerate(own)])
+    names = [f"n{k}" for k in range(2 + words)]
     node = lambda first: F.struct(*[F.col(f"n{first + k}").alias(f"w{k}") for k in range(words)])
+    by_key = lambda df: df.repartition("n0", "n1").sortWithinPartitions("n0", "n1")
     links, level = None, 0
     while True:
         scan, schema = _scan(masks, level, radius, words, limit)
-        found = scratch.save(rows.repartition("n0", "n1").sortWithinPartitions("n0", "n1").mapInArrow(scan, schema), f"scan-{level}")
+        found = scratch.save(by_key(rows).mapInArrow(scan, schema), f"scan-{level}")
+        crowded = found.where("kind = 2").select(*names)
+        if not crowded.isEmpty():
+            # Every two blocks of a key meet in one task; a key's tasks are numbered into the key.
+            n = crowded.groupBy("n0", "n1").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+            own_block = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+            pairs = crowded.join(n, ["n0", "n1"]).withColumn("i", own_block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            task = F.xxhash64("n1", F.least("i", "j"), F.greatest("i", "j")).alias("n1")
+            compare, _ = _scan(masks, level, radius, words, 0)
+            met = scratch.save(by_key(pairs.select("n0", task, *names[2:])).mapInArrow(compare, schema), f"blocks-{level}")
+            found = found.where("kind < 2").unionByName(met)
         now = found.where("kind = 0").select(node(0).alias("u"), node(words).alias("v"))
         links = now if links is None else links.unionByName(now)
-        rows = found.where("kind = 1").select(*[f"n{k}" for k in range(2 + words)])
+        rows = found.where("kind = 1").select(*names)
         if rows.isEmpty():
             return links
         level += 1
@@ -268,6 +302,6 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None, id_col: str =
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     found = scratch.save(near_duplicates(docs, scratch=scratch, id_col=id_col, text_col=text_col, **parameters), "components")
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    keyed = docs.select(carried(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
     kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["text_hash"] == stays["_hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
