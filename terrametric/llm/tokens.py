@@ -16,7 +16,7 @@ import unicodedata
 from array import array
 from itertools import groupby
 
-#: Pieces remembered at once in a worker, as often again of those before; older ones are merged anew.
+#: Pieces remembered at once in a worker, as often again of those before; older ones are made anew.
 MAX_PIECES = 250_000
 #: Longer pieces are not remembered.
 MAX_PIECE_CHARS = 64
@@ -24,7 +24,7 @@ MAX_PIECE_CHARS = 64
 #: Code points the fast path covers: Basic Latin to Latin Extended-B.
 _LAST = 0x24F
 _ODD = {*range(0x1C, 0x20), 0x85, 0x130}
-_FAST = [c for c in range(_LAST + 1) if c not in _ODD]
+_FAST = [c for c in range(_LAST + 1) if c not in _ODD and len(chr(c).lower()) == 1 and ord(chr(c).lower()) <= _LAST]
 
 #: The contractions that these tokenizers' patterns name.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -63,6 +63,32 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class Memory:
+    """A bounded memory of two generations: when the newer is full, the older is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.newer, self.older = make, {}, {}
+
+    def ids(self, keys: list[str]) -> bytes:
+        """The ids of all keys in order; those not met lately are made."""
+        found = list(map(self.newer.get, keys))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            key = keys[i]
+            ids = self.newer.get(key)  # it may have come a moment ago
+            found[i] = self._new(key) if ids is None else ids
+        return b"".join(found)
+
+    def _new(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= MAX_PIECE_CHARS:
+            if len(self.newer) >= MAX_PIECES:
+                self.older, self.newer = self.newer, {}
+            self.newer[key] = ids
+        return ids
+
+
 class Encoder:
     """kind: "byte" keeps white space and case; "word" lower-cases and drops white space."""
 
@@ -72,35 +98,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
+        merge = self.tokenizer.model.tokenize
         self.split, self.lower = _SPLIT[kind].findall, kind == "word"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece not met lately."""
-        ids = self.older.get(piece)
-        if ids is None:
-            letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
-        if len(piece) <= MAX_PIECE_CHARS:
-            if len(self.known) >= MAX_PIECES:
-                self.older, self.known = self.known, {}
-            self.known[piece] = ids
-        return ids
+        self.pieces = Memory(lambda s: array("I", [t.id for t in merge(s.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes())
 
     def _text(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _SLOW_TEXT.search(text):
             return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        pieces = self.split(text.lower() if self.lower else text)
-        found = list(map(self.known.get, pieces))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            piece = pieces[i]
-            ids = self.known.get(piece)
-            found[i] = self._piece(piece) if ids is None else ids
-        return b"".join(found)
+        return self.pieces.ids(self.split(text.lower() if self.lower else text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; none for null."""
