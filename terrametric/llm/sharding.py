@@ -124,7 +124,7 @@ def splitters(keys: DataFrame, boundaries: list[Boundary], fan: int = 2048, roun
     raise RuntimeError(f"splitters were not found in {rounds} rounds")
 
 
-def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_bytes: int = 64 << 20, max_parts_a_shard: int = 256, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_bytes: int = 16 << 20, max_parts_a_shard: int = 2048, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The input rows with `size` (UTF-8 bytes and one), `shard` and `slot` (gapless from 0 in each shard).
 
     tolerance: of a shard's mean bytes, how far a shard's end may be off; single
