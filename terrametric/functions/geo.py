@@ -216,6 +216,21 @@ def exterior(g: ColumnOrName) -> Column:
     return geometry("Polygon", F.slice(_c(g)["parts"], 1, 1))
 
 
+def union_agg(g: ColumnOrName) -> Column:
+    """An aggregate: shapes as one list, for `any_contains`; overlaps stay as they are."""
+    return F.collect_list(_c(g))
+
+
+def any_contains(shapes: ColumnOrName, lng: ColumnOrName, lat: ColumnOrName) -> Column:
+    return F.exists(_c(shapes), lambda s: contains(s, lng, lat))
+
+
+def bounds_agg(g: ColumnOrName) -> list[Column]:
+    """Aggregates west, south, east and north of all shapes of a group."""
+    b = bounds(g)
+    return [f(b[n]).alias(n) for f, n in ((F.min, "west"), (F.min, "south"), (F.max, "east"), (F.max, "north"))]
+
+
 # --- text and binary forms ---
 
 

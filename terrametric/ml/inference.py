@@ -41,6 +41,25 @@ def replies(df: DataFrame, prompt: Column | str, factory: Callable[[], Client],
     return asked.withColumn("_r", ask("_prompt", "_uris")).select(*df.columns, "_r.reply", "_r.error")
 
 
+def cascade(df: DataFrame, column: str, factories: list[Callable[[], Callable[[str], str | None]]], out: str = "resolved") -> DataFrame:
+    """The rows with what the first service that knows the value answers, and that service's place; null where none does.
+
+    For lookups such as addresses: a strict service first, broader ones after it.
+    """
+
+    @F.pandas_udf("struct<value string, step int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        services = [f() for f in factories]
+        for values in batches:
+            answers = []
+            for v in values:
+                tried = ((s(v), k) for k, s in enumerate(services)) if v is not None else ()
+                answers.append(next(((a, k) for a, k in tried if a is not None), (None, None)))
+            yield pd.DataFrame({"value": [a for a, _ in answers], "step": pd.array([k for _, k in answers], "Int32")})
+
+    return df.withColumn("_c", run(column)).select(*df.columns, F.col("_c.value").alias(out), F.col("_c.step").alias(f"{out}_by"))
+
+
 def projected(df: DataFrame, schema: str, reply: str = "reply") -> DataFrame:
     """The reply's JSON as columns; a reply without valid JSON keeps its text and an error."""
     text = scalar.fenced_json(reply)

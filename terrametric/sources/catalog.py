@@ -54,6 +54,27 @@ def partition_inventory(spark: SparkSession, path: str, table: str, column: str
     return out.select(F.lit(table).alias("table_name"), "partition_id", "total_rows", "total_logical_bytes", F.col("total_logical_bytes").alias("total_billable_bytes"), "last_modified_time", F.lit("ACTIVE").alias("storage_tier"))
 
 
+_EVENTS = (
+    "Event string, executionId long, description string, physicalPlanDescription string, time long, `Stage IDs` array<long>, `Stage ID` long, Properties map<string,string>, `User` string,"
+    " `Task Metrics` struct<`Input Metrics`:struct<`Bytes Read`:long>>, `App ID` string"
+)
+
+
+def job_log(spark: SparkSession, path: str) -> DataFrame:
+    """Spark's event logs as a job log: a row per SQL execution, with its text and the bytes its tasks read."""
+    e = spark.read.schema(_EVENTS).json(path).withColumn("file", F.col("_metadata.file_path"))
+    of = lambda name: e.where(F.col("Event").endswith(name))
+    apps = of("SparkListenerApplicationStart").select("file", F.col("User").alias("user_email"), F.col("App ID").alias("app"))
+    started = of("SparkListenerSQLExecutionStart").select("file", "executionId", F.col("description").alias("query"), F.timestamp_millis("time").cast("timestamp_ntz").alias("creation_time"), F.col("physicalPlanDescription").alias("plan"))
+    jobs = of("SparkListenerJobStart").select("file", F.col("Properties")["spark.sql.execution.id"].try_cast("long").alias("executionId"), F.explode("Stage IDs").alias("stage")).where("executionId is not null").distinct()
+    read = of("SparkListenerTaskEnd").groupBy("file", F.col("Stage ID").alias("stage")).agg(F.sum("Task Metrics.Input Metrics.Bytes Read").alias("bytes"))
+    processed = jobs.join(read, ["file", "stage"]).groupBy("file", "executionId").agg(F.sum("bytes").alias("bytes"))
+    kind = F.when(F.col("plan").rlike("(?i)InsertInto|CreateDataSourceTable|Append|Overwrite"), "INSERT").otherwise("SELECT")
+    joined = started.join(processed, ["file", "executionId"], "left").join(apps, "file", "left")
+    volume = F.coalesce("bytes", F.lit(0)).cast("long")
+    return joined.select(F.concat_ws("_", "app", "executionId").alias("job_id"), "user_email", "creation_time", F.lit("QUERY").alias("job_type"), kind.alias("statement_type"), "query", volume.alias("total_bytes_billed"), volume.alias("total_bytes_processed"))
+
+
 def registered(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Tables and views of the session's catalogue, with their kinds; a row each."""
     rows = [(t.namespace[-1] if t.namespace else "", t.name, "VIEW" if t.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE", t.description) for t in spark.catalog.listTables(database)]

@@ -126,3 +126,9 @@ def test_scalars(spark):
     assert fenced == ('{"a": 1}', '{"b": 2}', '{"c": 3}', None)
     assert one(spark, *[scalar.category(F.lit(t)) for t in ("Yes. Model X", "Maybe.", "No.", "hm")]) == ("Yes", "Maybe", "No", "Error")
     assert one(spark, scalar.clamp(F.lit(120.0), 0, 100), scalar.score_band(F.lit(6.0))) == (100.0, "middle")
+
+
+def test_unions_and_their_bounds(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (5.0, 6.0)], "a double, b double").withColumn("g", geo.rectangle("a", "a", "b", "b"))
+    r = df.agg(geo.union_agg("g").alias("u"), *geo.bounds_agg("g")).withColumn("hits", F.array(*[geo.any_contains("u", F.lit(x), F.lit(x)) for x in (0.2, 0.7, 3.0, 5.5)])).first()
+    assert (r["west"], r["north"], r["hits"]) == (0.0, 6.0, [True, True, False, True])

@@ -170,3 +170,26 @@ def test_inference(spark):
     assert tuple(inference.agreement(judged).first()) == (3, 2, 66.67)
     got = {r["category"]: (r["n"], r["samples"]) for r in inference.categories(spark.createDataFrame([("Yes. A",), ("yes b",), ("No",), ("?",)], "reply string")).collect()}
     assert got["Yes"] == (2, ["Yes. A", "yes b"]) and got["Error"][0] == 1
+
+
+def test_cascade(spark):
+    first = lambda: {"a": "A"}.get
+    second = lambda: lambda v: v.upper() + "?" if v != "none" else None
+    df = spark.createDataFrame([("a",), ("b",), ("none",), (None,)], "address string")
+    got = {r["address"]: (r["resolved"], r["resolved_by"]) for r in inference.cascade(df, "address", [first, second]).collect()}
+    assert got == {"a": ("A", 0), "b": ("B?", 1), "none": (None, None), None: (None, None)}
+
+
+def test_job_log(spark, tmp_path):
+    events = [
+        {"Event": "SparkListenerApplicationStart", "User": "ann", "App ID": "app-1"},
+        {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": 3, "description": "SELECT 1", "physicalPlanDescription": "Scan", "time": 1_700_000_000_000},
+        {"Event": "SparkListenerJobStart", "Stage IDs": [7, 8], "Properties": {"spark.sql.execution.id": "3"}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 7, "Task Metrics": {"Input Metrics": {"Bytes Read": 10}}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 8, "Task Metrics": {"Input Metrics": {"Bytes Read": 5}}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 9, "Task Metrics": {"Input Metrics": {"Bytes Read": 99}}},
+    ]
+    (tmp_path / "log").write_text("\n".join(map(json.dumps, events)) + "\n")
+    (r,) = catalog.job_log(spark, str(tmp_path / "log")).collect()
+    assert (r["job_id"], r["user_email"], r["query"], r["statement_type"], r["total_bytes_processed"]) == ("app-1_3", "ann", "SELECT 1", "SELECT", 15)
+    assert r["creation_time"] == datetime.datetime(2023, 11, 14, 22, 13, 20)
