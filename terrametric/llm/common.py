@@ -33,10 +33,25 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+#: Rows that go to a Python worker at once. Whole texts are long: the default of
+#: 10,000 would hold tens of MB on both sides of the pipe, for each task.
+ROWS_A_BATCH = 1000
+#: Workers are kept between tasks; one arena and the system's pool keep less of what they freed.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ready_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, in small batches of rows
+    and with little memory kept.
+
+    A batch size that the session has set itself is left alone.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])

@@ -36,7 +36,7 @@ LONGEST_GRAM = 5
 #: Letters, one or more.
 _WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words remembered at once in a worker.
-MAX_REMEMBERED = 200_000
+MAX_REMEMBERED = 100_000
 
 
 @dataclass
