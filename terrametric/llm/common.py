@@ -57,6 +57,13 @@ def ready_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would resolve it by, so that other readers find the same place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class Scratch:
     """Tables that cut a job's lineage, written below the shared folder.
 

@@ -42,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, ready_workers
+from .common import Scratch, qualified, ready_workers
 
 MAGIC = b"TMS8B-01"
 BLOCK = 128
 #: Ids after which a chunk is closed, at the end of a document.
-CHUNK_IDS = 1 << 19
+CHUNK_IDS = 1 << 18
+#: Chunks that one task reads, about.
+CHUNKS_A_TASK = 32
 END_ID = 0
 
 #: Fixed values of the coding: selector -> (ids a word, bits an id). The widest holds any id below 2**60.
@@ -102,9 +104,13 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         place = place + counts[k]
         at[alive] = place
         alive = alive[place < lengths[alive]]
-    block, place, k = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(block * BLOCK + place, kind="stable")
-    block, place, k = block[order], place[order], k[order]
+    per_block = np.bincount(np.concatenate([x[0] for x in found]), minlength=blocks)
+    words_at = np.concatenate([[0], np.cumsum(per_block)])
+    # The t-th words of all blocks go t places behind their blocks' first words.
+    block, place, k = (np.empty(words_at[-1], x.dtype) for x in found[0])
+    for t, (own, p, c) in enumerate(found):
+        to = words_at[own] + t
+        block[to], place[to], k[to] = own, p, c
     words = np.empty(len(block), np.uint64)
     for c in np.unique(k):
         s = _CHOICES[c][0]
@@ -120,7 +126,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     least = np.repeat(most, np.diff(np.append(block * BLOCK + place, n)))
     escaped = np.flatnonzero((ids >= least) & (least > 0))
     escapes = (ids[escaped] - least[escaped]).astype("<u2")
-    words_at = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))]).astype("<u4")
+    words_at = words_at.astype("<u4")
     escapes_at = np.concatenate([[0], np.cumsum(np.bincount(escaped // BLOCK, minlength=blocks))]).astype("<u4")
     return words.astype("<u8", copy=False), escapes, words_at, escapes_at
 
@@ -184,7 +190,7 @@ def _store(uri: str):
     """(file system, path) of any store that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 _MANIFEST = "part int, path string, chunk int, at long, bytes long, docs long, ids long"
@@ -197,6 +203,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
     """
     spark = docs.sparkSession
     ready_workers(spark)
+    folder = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, kind).encode
@@ -276,7 +283,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     ["part", "doc_id", "start", "n_tokens", "ids"],
                 )
 
-    spread = chunks.select("part", "path", "at", "bytes", "before").repartition("path", "at")
+    tasks = max(1, -(-manifest.count() // CHUNKS_A_TASK))
+    spread = chunks.select("part", "path", "at", "bytes", "before").repartition(tasks, "path", "at")
     return spread.mapInArrow(read, _DOCUMENTS).drop("part")
 
 
