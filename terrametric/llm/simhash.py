@@ -13,7 +13,8 @@ Only distinct fingerprints enter the tables, so exact copies cost nothing. A
 key's fingerprints are compared in one task if they are few. A key with more is
 split by the bits outside its mask, into radius + 1 groups of bits of which a
 pair within the radius agrees on one; that repeats until keys are small or so
-few bits are left that all are within the radius. Where many of a key's pairs
+few bits are left that all are within the radius. A pair is linked in the
+first table it meets in, not in each. Where many of a key's pairs
 are near copies, which no bits part, its fingerprints are dealt into blocks
 instead, and every two blocks meet in a task. Tasks give a spanning forest of
 the links, not all pairs.
@@ -126,19 +127,29 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, k, None] ^ b[None, :, k]) for k in range(a.shape[1]))
 
 
-def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Places of links that join what pairs within the radius join, at most one less than there are prints."""
+def _forest(prints: np.ndarray, radius: int, earlier: np.ndarray) -> list[tuple[int, int]]:
+    """Places of links that join what pairs within the radius join, at most one less than there are prints.
+
+    earlier: masks, as rows of words, of the tables before this one; a pair that
+    agrees on one of them has been met there and is left out here.
+    """
     n, links = len(prints), []
     label = np.arange(n)
     for at in range(0, n, 256):
-        near = _distances(prints[at : at + 256], prints[at:]) <= radius
-        near[np.arange(len(near)), np.arange(len(near))] = False
-        for i in np.flatnonzero(near.any(axis=1)):
-            js = at + np.flatnonzero(near[i])
+        i, j = np.nonzero(np.triu(_distances(prints[at : at + 256], prints[at:]) <= radius, 1))
+        i, j = i + at, j + at
+        differ = prints[i] ^ prints[j]
+        for mask in earlier:
+            if not len(i):
+                break
+            new = (differ & mask).any(axis=1)
+            i, j, differ = i[new], j[new], differ[new]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        for a, js in zip(i[first].tolist(), np.split(j, first[1:]), strict=True) if len(i) else ():
             for other in np.unique(label[js]):
-                if other != label[at + i]:
-                    links.append((at + int(i), int(js[label[js] == other][0])))
-                    label[label == other] = label[at + i]
+                if other != label[a]:
+                    links.append((a, int(js[label[js] == other][0])))
+                    label[label == other] = label[a]
     return links
 
 
@@ -163,6 +174,8 @@ def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
             mask = refined_masks(mask, radius, bits)[c]
         return mask
 
+    table_masks = np.array([_words(m, words) for m in masks], np.uint64)
+
     def batch(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         n = len(columns[0])
         columns = [*columns, *[np.zeros(n, np.int64)] * (width - 1 - len(columns))]
@@ -194,7 +207,7 @@ def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
                 yield from finer(at[0], held)
             elif mode == "blocks":
                 yield from crowd(*at, held)
-            elif len(held) > 1 and (links := _forest(held, radius)):
+            elif len(held) > 1 and (links := _forest(held, radius, table_masks[: at[0] // (radius + 1) ** level])):
                 u, v = np.array(links).T
                 yield batch(0, [*held[u].T, *held[v].T])
 
