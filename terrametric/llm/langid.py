@@ -36,7 +36,7 @@ LONGEST_GRAM = 5
 #: Letters, one or more.
 _WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words remembered at once in a worker.
-MAX_REMEMBERED = 100_000
+MAX_REMEMBERED = 200_000
 
 
 @dataclass
@@ -150,6 +150,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 
+    # Else a filter on the results would be pushed below them and predict every text again.
+    predict = predict.asNondeterministic()
     rows = docs.select(carried(docs, "lang_pred", "score")).withColumn("found", predict(F.col("row")[text_col]))
     return rows.select("row.*", "found.lang_pred", "found.score")
 
