@@ -18,6 +18,8 @@ from itertools import groupby
 
 #: Pieces remembered at once in a worker, as often again of those before; older ones are made anew.
 MAX_PIECES = 250_000
+#: Pieces of a long text that are looked up between two checks of how many are remembered.
+RUN = 20_000
 #: Longer pieces are not remembered.
 MAX_PIECE_CHARS = 64
 
@@ -38,19 +40,21 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
-def _class(*initials: str) -> str:
-    return _ranges([c for c in _FAST if unicodedata.category(chr(c))[0] in initials])
+def _patterns(codes: list[int]) -> tuple[re.Pattern, dict[str, re.Pattern]]:
+    """For texts of these characters only: what any other character matches, and the pieces by kind of tokenizer."""
+    kind = {c: "space" if chr(c).isspace() else unicodedata.category(chr(c))[0] for c in codes}
+    letter, number, space = (_ranges([c for c in codes if kind[c] == k]) for k in ("L", "N", "space"))
+    other = _ranges([c for c in codes if kind[c] not in ("L", "N", "space")])
+    pieces = {
+        "byte": f"{CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+",
+        "word": f"{CONTRACTIONS}|[{letter}]+|[{number}]|[{other}]+",
+    }
+    return re.compile(f"[^{_ranges(codes)}]"), {k: re.compile(v) for k, v in pieces.items()}
 
 
-_SPACE = _ranges([c for c in _FAST if chr(c).isspace()])
-_LETTER, _NUMBER = _class("L"), _class("N")
-_OTHER = _ranges([c for c in _FAST if not chr(c).isspace() and unicodedata.category(chr(c))[0] not in "LN"])
-_SLOW_TEXT = re.compile(f"[^{_ranges(_FAST)}]")
-
-_SPLIT = {
-    "byte": re.compile(f"{CONTRACTIONS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[{_OTHER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
-    "word": re.compile(f"{CONTRACTIONS}|[{_LETTER}]+|[{_NUMBER}]|[{_OTHER}]+"),
-}
+#: Classes within Latin-1 are matched faster, and most texts need no others.
+_BEYOND_1, _SPLIT_1 = _patterns([c for c in _FAST if c <= 0xFF and ord(chr(c).lower()) <= 0xFF])
+_BEYOND, _SPLIT = _patterns(_FAST)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,29 +67,18 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class Memory:
-    """A bounded memory of two generations: when the newer is full, the older is forgotten."""
-
-    def __init__(self, make):
-        self.make, self.newer, self.older = make, {}, {}
+class _Newer(dict):
+    """Ids of pieces met lately; a missing piece is taken over from the older ones, or made."""
 
-    def ids(self, keys: list[str]) -> bytes:
-        """The ids of all keys in order; those not met lately are made."""
-        found = list(map(self.newer.get, keys))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            key = keys[i]
-            ids = self.newer.get(key)  # it may have come a moment ago
-            found[i] = self._new(key) if ids is None else ids
-        return b"".join(found)
+    def __init__(self, make, older: dict[str, bytes]):
+        self.make, self.older = make, older
 
-    def _new(self, key: str) -> bytes:
-        ids = self.older.get(key)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
         if ids is None:
-            ids = self.make(key)
-        if len(key) <= MAX_PIECE_CHARS:
-            if len(self.newer) >= MAX_PIECES:
-                self.older, self.newer = self.newer, {}
-            self.newer[key] = ids
+            ids = self.make(piece)
+        if len(piece) <= MAX_PIECE_CHARS:
+            self[piece] = ids
         return ids
 
 
@@ -98,16 +91,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        merge = self.tokenizer.model.tokenize
-        self.split, self.lower = _SPLIT[kind].findall, kind == "word"
-        self.pieces = Memory(lambda s: array("I", [t.id for t in merge(s.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes())
+        self.merge = self.tokenizer.model.tokenize
+        self.lower = kind == "word"
+        self.split_1, self.split = _SPLIT_1[kind].findall, _SPLIT[kind].findall
+        self.known = _Newer(self._piece, {})
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _looked_up(self, pieces: list[str]) -> bytes:
+        if len(self.known) >= MAX_PIECES:
+            self.known = _Newer(self._piece, dict(self.known))
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def _text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _SLOW_TEXT.search(text):
+        if not _BEYOND_1.search(text):
+            split = self.split_1
+        elif not _BEYOND.search(text):
+            split = self.split
+        else:
             return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        return self.pieces.ids(self.split(text.lower() if self.lower else text))
+        pieces = split(text.lower() if self.lower else text)
+        if len(pieces) <= RUN:
+            return self._looked_up(pieces)
+        return b"".join([self._looked_up(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; none for null."""
