@@ -26,6 +26,7 @@ one named like a result column. Where kinds overlap, the one listed first in KIN
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect
@@ -52,6 +53,14 @@ _SYLLABLES = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX, _IP = "[0-9A-Fa-f]{1,4}", rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+#: Eight groups, or up to seven around one "::"; the last two may be a dotted address.
+_IPV6 = "|".join(
+    [rf"(?:{_HEX}:){{6}}{_IP}", rf"(?:{_HEX}:){{7}}{_HEX}"]
+    + [rf"{f'{_HEX}(?::{_HEX}){{{n - 1}}}' if n else ''}::(?:{_HEX}:){{0,{5 - n}}}{_IP}" for n in range(6)]
+    + [rf"{f'{_HEX}(?::{_HEX}){{{n - 1}}}' if n else ''}::(?:{_HEX}(?::{_HEX}){{0,{6 - n}}})?" for n in range(7)]
+    + [rf"{_HEX}(?::{_HEX}){{6}}::"]
+)
 _NAME = r"[^\W\d_][\w'’-]+"
 _ALL_TITLES = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
 _ALL_FIRST = sorted((x for xs in FIRST_NAMES.values() for x in xs), key=len, reverse=True)
@@ -61,7 +70,8 @@ _GENDER = {t: g for g, ts in [*TITLES.items(), *FIRST_NAMES.items()] for t in ts
 KINDS: dict[str, re.Pattern] = {
     "email": re.compile(r"[\w.%+-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}"),
     "secret": re.compile(r"""(?i:\b(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\b)["']?\s*[:=]\s*["']?(?P<v>[^\s"'<>,;]{6,})|(?P<v2>\bAKIA[0-9A-Z]{16}\b)|(?P<v3>\b[0-9a-f]{32,}\b)"""),
-    "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    # Without a digit a compressed form may as well be a name in code, such as a::b.
+    "ipv6": re.compile(rf"(?<![\w:.])(?:(?=[0-9A-Fa-f:]*[0-9])(?:{_IPV6})|(?:{_HEX}:){{7}}{_HEX})(?![\w:]|\.\d)", re.ASCII),
     "ip": re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "card": re.compile(r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d|[.-]\d)"),
@@ -69,7 +79,9 @@ KINDS: dict[str, re.Pattern] = {
     "phone": re.compile(r"(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
 }
 _PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(_ALL_TITLES)})\.?[ ](?P<rest>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<first>{'|'.join(_ALL_FIRST)})[ ](?P<last>{_NAME}))")
-_DIGITS, _DIGIT_KINDS = re.compile(r"\d\d|:"), ("ipv6", "ip", "iban", "card", "ssn", "phone")
+#: What every text holds that has a mention of the kind: a cheap test before the pattern.
+_TWO_DIGITS = re.compile(r"\d\d").search
+_NEEDS = {"email": lambda t: "@" in t, "ipv6": lambda t: "::" in t or t.count(":") > 5, "ip": re.compile(r"\d\.\d").search, "iban": _TWO_DIGITS, "card": _TWO_DIGITS, "ssn": _TWO_DIGITS, "phone": _TWO_DIGITS}
 
 
 @dataclass(frozen=True)
@@ -93,6 +105,8 @@ def canonical(kind: str, s: str) -> str:
         return re.sub(r"\D", "", s)
     if kind == "iban":
         return s.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(s).packed.hex(":", 2)
     return s if kind == "secret" else s.lower()
 
 
@@ -122,7 +136,7 @@ def mentions(text: str | None) -> list[Mention]:
         return []
     found: list[Mention] = []
     for kind, pattern in KINDS.items():
-        if kind == "email" and "@" not in text or kind in _DIGIT_KINDS and not _DIGITS.search(text):
+        if kind in _NEEDS and not _NEEDS[kind](text):
             continue
         for m in pattern.finditer(text):
             a, b = next(m.span(g) for g in ("v", "v2", "v3") if m[g]) if kind == "secret" else m.span()
@@ -186,10 +200,18 @@ def surrogate(kind: str, original: str, key: bytes, attempt: int) -> str:
         return f"{_alike(local, draw)}@{_alike(host, draw)}.{top}"
     if kind == "ip":
         least, most = {1: 1, 2: 11, 3: 100}, {1: 9, 2: 99, 3: 223}
-        octets = [str(least[len(o)] + draw.below(most[len(o)] - least[len(o)] + 1)) for o in original.split(".")]
+        lengths = [len(o) if attempt <= 8 else 3 for o in original.split(".")]  # few addresses have short octets only
+        octets = [str(least[n] + draw.below(most[n] - least[n] + 1)) for n in lengths]
         return ".".join(["128" if octets[0] == "127" else octets[0], *octets[1:]])
     if kind == "ipv6":
-        return ":".join(_alike(g, draw) if not g.isdigit() else "".join(draw.pick("0123456789abcdef") for _ in g) for g in original.split(":"))
+        # Groups of zeros stay, and others as long as they are, until candidates run out.
+        lengths = [len(g.lstrip("0")) for g in original.split(":")]
+        if attempt > 3:
+            lengths = [4 if n else 0 for n in lengths[:-1]] + [4]
+        if attempt > 8:
+            lengths[0] = 4
+        groups = [draw.pick("123456789abcdef") + "".join(draw.pick("0123456789abcdef") for _ in range(n - 1)) if n else "" for n in lengths]
+        return ":".join(g.zfill(4) for g in groups)
     if kind == "card":
         body = draw.pick("3456") + _alike(original[1:-1], draw)
         check = next(d for d in "0123456789" if _luhn(body + d) == _luhn(original))  # as valid as the original
@@ -211,8 +233,26 @@ def surrogate(kind: str, original: str, key: bytes, attempt: int) -> str:
     return _alike(original, draw)
 
 
+def _written_ipv6(mention: str, new: str) -> str:
+    """Groups as wide as the mention's, "::" and a dotted end where it has them, if the surrogate can be written so."""
+    head, dots, tail = mention.partition("::")
+    split = lambda s: [w for g in s.split(":") if g for w in ([0, 0] if "." in g else [len(g)])]
+    left, right, groups = split(head), split(tail), new.split(":")
+    zeros = 8 - len(left) - len(right)
+    if any(g != "0000" for g in groups[len(left) : len(left) + zeros]):
+        return ipaddress.IPv6Address(new).compressed
+    widths = [*left, *[0] * zeros, *right]
+    words = [(g.lstrip("0") or "0").zfill(w) for g, w in zip(groups, widths, strict=True)]
+    if "." in mention:
+        words[6:] = [".".join(str(b) for b in bytes.fromhex(groups[6] + groups[7]))]
+    out = ":".join(words[: len(left)]) + "::" + ":".join(words[len(left) + zeros :]) if dots else ":".join(words)
+    return out.upper() if mention.upper() == mention and re.search("[A-F]", mention) else out
+
+
 def written(kind: str, mention: str, new: str) -> str:
     """The surrogate in the notation of a mention."""
+    if kind == "ipv6":
+        return _written_ipv6(mention, new)
     if kind.startswith(("first", "last")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
     if kind == "phone" and (digits := re.sub(r"\D", "", mention)) and len(digits) == len(new) + 1:

@@ -88,6 +88,40 @@ def test_ordinary_text_is_left_alone(text):
     assert pii.mentions(text) == []
 
 
+@pytest.mark.parametrize("text", ["8.8.8.8", "see 1.1.1.1.", "at 1.2.3.4, or"])
+def test_an_address_is_found_whatever_else_the_text_holds(text):
+    assert [m.kind for m in pii.mentions(text)] == ["ip"]
+    assert [m.kind for m in pii.mentions(text + " and 10 more")] == ["ip"]
+
+
+V6 = ["2001:db8::1", "::1", "2001:DB8::", "fe80::1:2", "1:2:3:4:5:6:7::", "1::3:4:5:6:7:8", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8:0:0:0:0:0:1", "::ffff:192.0.2.1", "1:2:3:4:5:6:192.0.2.1", "0::"]
+
+
+@pytest.mark.parametrize("text", V6)
+def test_ipv6_in_every_notation(text):
+    (m,) = pii.mentions(f"from [{text}]:80, then")
+    assert (m.kind, m.start, m.end) == ("ipv6", 6, 6 + len(text))
+    for attempt in (0, 5, 20):
+        new = pii.surrogate(m.kind, m.canonical, b"k", attempt)
+        out = pii.written(m.kind, text, new)
+        assert [pii.canonical(x.kind, out) for x in pii.mentions(f"[{out}]") if x.kind == "ipv6"] in ([new], [])
+        assert pii.canonical("ipv6", out) == new and (attempt or out.count(":") == text.count(":"))
+
+
+def test_ipv6_notations_are_one_entity_and_settle(spark):
+    assert len({pii.canonical("ipv6", t) for t in ("2001:db8::1", "2001:DB8:0:0::1", V6[6], V6[7])}) == 1
+    rows = [("ipv6", pii.canonical("ipv6", f"::{i:x}")) for i in range(16)] + [("ip", f"{i}.{j}.1.{k}") for i in range(1, 10) for j in range(1, 10) for k in range(1, 10)]
+    from terrametric.llm.common import Scratch
+
+    got = [r["surrogate"] for r in pii.settled(spark.createDataFrame(rows, "kind string, canonical string"), b"k", Scratch(spark, "test")).collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {c for _, c in rows}
+
+
+@pytest.mark.parametrize("text", ["std::vector<int>", "x :: Int", "a::b", "12::3::4", "1:2:3", "::1::2", "v12345::6"])
+def test_code_is_no_ipv6(text):
+    assert pii.mentions(text) == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=80), st.lists(st.sampled_from(["a.b@c.org", "1.2.3.4", "4111111111111111", "+1 (664) 555-5990", " ", ". "]), max_size=6))
 def test_mentions_never_overlap(text, parts):
