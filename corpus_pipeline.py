@@ -11,15 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrametric.llm import langid, line_dedup, mixing, packing, simhash
+from terrametric.llm import langid, line_dedup, mixing, packing, similar, simhash
 from terrametric.llm.common import Scratch
 from terrametric.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction below this posterior is no decision, and the document goes like one without letters.
 MIN_LANGUAGE_SCORE = 0.5
-#: Shingle sets this alike make two documents near-duplicates: four in five such pairs differ in
-#: at most 23 of 128 bits, more alike ones nearly always, unrelated ones once in 10**13 pairs.
+#: Sets of five-word shingles this alike make two documents near-duplicates.
 SIMILARITY = 0.8
 
 
@@ -38,8 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    radius = simhash.radius_of(SIMILARITY, 2 * simhash.WORD, 0.8)
-    return simhash.deduplicated(docs.select(*COLUMNS), words_a_shingle=5, words=2, radius=radius, parts=6)
+    return simhash.deduplicated(docs.select(*COLUMNS), find=similar.near_duplicates, words_a_shingle=5, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

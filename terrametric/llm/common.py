@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -57,6 +59,12 @@ def ready_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system, where its C library can."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark would resolve it by, so that other readers find the same place."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

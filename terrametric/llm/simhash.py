@@ -297,23 +297,28 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_a_shingle: int = 3,
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     found = scratch.save(fingerprints(docs, words_a_shingle, words, **columns), "prints")
     distinct = scratch.save(found.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links_within(distinct.select("print"), radius, scratch, words, parts, limit), scratch)
+    return components_of(found, distinct, links_within(distinct.select("print"), radius, scratch, words, parts, limit), scratch)
+
+
+def components_of(found: DataFrame, distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows `found` with the components that links join their prints to; distinct: (print, least doc_id)."""
+    roots = connected_components(links, scratch)
     # A few prints are linked; the others are components of their own.
     member = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     joined = roots.select(F.col("node").alias("print"), "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct())
-    least = joined.join(distinct, "print").groupBy("root").agg(F.min("least").alias("component"))
+    least = joined.join(distinct.select("print", "least"), "print").groupBy("root").agg(F.min("least").alias("component"))
     named = member.join(least, "root", "left").select("print", "root", F.coalesce("component", "least").alias("component_id"))
     return found.join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def deduplicated(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **parameters) -> DataFrame:
     """The input rows without near-duplicates: of each component the row with the smallest id stays.
 
-    A null id counts as the smallest. Of rows that share the id, the one with
+    find: what gives the components, with these parameters. A null id counts as the smallest. Of rows that share the id, the one with
     the smallest text hash stays; of rows that share both, any one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    found = scratch.save(near_duplicates(docs, scratch=scratch, id_col=id_col, text_col=text_col, **parameters), "components")
+    found = scratch.save(find(docs, scratch=scratch, id_col=id_col, text_col=text_col, **parameters), "components")
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
     keyed = docs.select(carried(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
     kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["text_hash"] == stays["_hash"]), "left_semi")
