@@ -187,10 +187,49 @@ def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 9) AS cosine FROM q, embeddings e)
 SELECT query_id, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS nth FROM s) WHERE nth <= 3""")
 def ext_vector_top_k(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """Brute-force cosine neighbours of a few given vectors; the queries are few and are broadcast."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv")), 9).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("query_id", "vec_id", "cosine")
+    """Cosine neighbours of every vector whose id is divisible by 50, among all vectors; the SQL states the first five ids' only."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, cosine): the k rows most alike to each query, ties by id, by brute force.
+
+    Every block of queries meets every block of vectors in a task, which gives its own
+    best k; the best of those follow. Pairs without a cosine are left out: null or
+    zero vectors, null or non-finite components, unequal lengths.
+    """
+    shares = [max(1, -(-df.count() // block)) for df in (queries, vectors)]
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.floor(F.rand(1) * n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = deal(queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")), "qb", shares[0], "eb", shares[1])
+    e = deal(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), "eb", shares[1], "qb", shares[0])
+
+    def best(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def units(table, name) -> dict:
+            """Ids and unit vectors by length."""
+            found: dict = {}
+            for i, x in zip(table.column(name).to_pylist(), table.column("embedding").combine_chunks(), strict=True):
+                if x.is_valid and len(x) and not x.values.null_count:
+                    v = x.values.to_numpy()
+                    if np.isfinite(v).all() and (largest := np.abs(v).max()):
+                        v = v / largest
+                        found.setdefault(len(v), []).append((i, v / np.linalg.norm(v)))
+            return found
+
+        rows, among = [], units(right, "vec_id")
+        for length, own in units(left, "query_id").items():
+            # Ids in order, null last: a stable sort by cosine then breaks ties by id.
+            others = sorted(among.get(length, []), key=lambda x: (x[0] is None, x[0] or 0))
+            if others:
+                cosines = np.round(np.array([v for _, v in own]) @ np.array([v for _, v in others]).T, 9)
+                for (i, _), c in zip(own, cosines, strict=True):
+                    rows += [(i, others[j][0], c[j]) for j in np.argsort(-c, kind="stable")[:k].tolist()]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "cosine"])
+
+    partial = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInArrow(best, "query_id long, vec_id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc_nulls_last("vec_id"))
+    return partial.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("query_id", "vec_id", "cosine")
