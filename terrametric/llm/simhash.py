@@ -29,7 +29,7 @@ ignored otherwise, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -49,15 +49,18 @@ KEY_LIMIT = 2048
 DENSE = 0.01
 
 
-def radius_of(similarity: float, bits: int, share: float = 0.85) -> int:
-    """Bits within which about this share of pairs of that shingle-set similarity lie, for sets of equal size."""
+def share_within(similarity: float, bits: int, radius: int) -> float:
+    """About the share of pairs of that shingle-set similarity that differ in at most `radius` bits, for sets of equal size.
+
+    Sets of other sizes that are as similar differ in fewer bits.
+    """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    low = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(1))
-    k = 0
-    while low < share:
-        k += 1
-        low += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
-    return k
+    return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1))
+
+
+def radius_of(similarity: float, bits: int, share: float = 0.85) -> int:
+    """Bits within which about this share of pairs of that shingle-set similarity lie."""
+    return next(k for k in range(bits + 1) if k == bits or share_within(similarity, bits, k) >= share)
 
 
 def shingles_of(text: bytes | None, words_a_shingle: int) -> list[bytes]:
@@ -75,26 +78,42 @@ def shingles_of(text: bytes | None, words_a_shingle: int) -> list[bytes]:
 
 def fingerprint(text: bytes | None, words_a_shingle: int = 3, seed: int = SEED) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes; zero without words."""
-    return _fingerprint(shingles_of(text, words_a_shingle), seed)
+    return int(_fingerprints([shingles_of(text, words_a_shingle)], seed)[0])
 
 
-def _fingerprint(shingles: list[bytes], seed: int) -> int:
+def _fingerprints(shingles: list[list[bytes]], seed: int) -> np.ndarray:
     import xxhash
 
-    total, n = np.zeros(WORD, np.int64), len(shingles)
-    for at in range(0, n, 1 << 16):  # a very long text is counted in parts
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles[at : at + (1 << 16)], repeat(seed)), np.uint64)
-        total += _column_sums(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
-
-
-def _column_sums(bits: np.ndarray) -> np.ndarray:
-    """Sums of a 0/1 matrix with 64 columns; runs of 255 rows fit a byte each."""
-    n = len(bits) // 255 * 255
-    out = bits[n:].sum(axis=0, dtype=np.int64)
-    if n:
-        out += bits[:n].reshape(-1, 255, WORD).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return out
+    sets = [np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(seed)), np.uint64, len(s)) for s in shingles]
+    return np.packbits(2 * bit_totals(sets) > np.array([[len(s)] for s in sets]), axis=1, bitorder="little").view("<u8").ravel()
+
+
+#: Hashes whose bits are counted at once.
+COUNTED = 1 << 14
+_LANES = np.uint64(0x0101010101010101)
+
+
+def bit_totals(sets: list[np.ndarray], derived: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """How many of each array's hashes have each bit set: a row of 64 an array. derived: hashes to count instead of those given."""
+    total = np.zeros((len(sets), WORD), np.int64)
+    pieces = [(i, s[a : a + COUNTED]) for i, s in enumerate(sets) for a in range(0, len(s), COUNTED)]
+    ends = np.cumsum([len(p) for _, p in pieces])
+    at = 0
+    while at < len(pieces):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - len(pieces[at][1]) + COUNTED, side="right")))
+        n = np.array([len(p) for _, p in pieces[at:upto]])
+        x = derived(np.concatenate([p for _, p in pieces[at:upto]]))
+        # Every eighth bit is summed in a byte of its own, over runs of at most 255 hashes.
+        runs = -(-n // 255)
+        first = np.cumsum(runs) - runs
+        starts = np.repeat(np.cumsum(n) - n - 255 * first, runs) + 255 * np.arange(runs.sum())
+        counts = np.empty((len(n), 8, 8), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(k)) & _LANES, starts)
+            counts[:, :, k] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        np.add.at(total, [i for i, _ in pieces[at:upto]], counts.reshape(-1, WORD))
+        at = upto
+    return total
 
 
 def covering_masks(radius: int, bits: int = WORD, parts: int = 1) -> list[int]:
@@ -122,7 +141,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits between all rows of two matrices of words."""
     return sum(np.bitwise_count(a[:, k, None] ^ b[None, :, k]) for k in range(a.shape[1]))
 
@@ -136,7 +155,7 @@ def _forest(prints: np.ndarray, radius: int, earlier: np.ndarray) -> list[tuple[
     n, links = len(prints), []
     label = np.arange(n)
     for at in range(0, n, 256):
-        i, j = np.nonzero(np.triu(_distances(prints[at : at + 256], prints[at:]) <= radius, 1))
+        i, j = np.nonzero(np.triu(distances(prints[at : at + 256], prints[at:]) <= radius, 1))
         i, j = i + at, j + at
         differ = prints[i] ^ prints[j]
         for mask in earlier:
@@ -196,7 +215,8 @@ def _scan(masks: list[int], level: int, radius: int, words: int, limit: int):
         """How a key with too many fingerprints goes on, by what its mask leaves and by some of its pairs."""
         if bits - mask_of(table).bit_count() <= radius:
             return "chain"  # all are within the radius
-        near = (_distances(prints[:256], prints) <= radius).mean()
+        near = (distances(prints[:256], prints) <= radius).sum() - len(prints[:256])  # not each with itself
+        near = near / (len(prints[:256]) * (len(prints) - 1))
         return "blocks" if near >= DENSE else "finer"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +295,9 @@ def fingerprints(docs: DataFrame, words_a_shingle: int = 3, words: int = 1, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = []
-            for t in batch.column(2):
-                shingles = shingles_of(t.as_buffer().to_pybytes() if t.is_valid else None, words_a_shingle)
-                prints.append([_fingerprint(shingles, SEED + k) for k in range(words)])
-            columns = np.array(prints, np.uint64).reshape(-1, words).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["doc_id", "text_hash", *(f"w{k}" for k in range(words))])
+            shingles = [shingles_of(t.as_buffer().to_pybytes() if t.is_valid else None, words_a_shingle) for t in batch.column(2)]
+            columns = [_fingerprints(shingles, SEED + k).view(np.int64) for k in range(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], ["doc_id", "text_hash", *(f"w{k}" for k in range(words))])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     found = given.mapInArrow(run, ", ".join(["doc_id long", "text_hash long", *(f"w{k} long" for k in range(words))]))
