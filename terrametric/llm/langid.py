@@ -4,11 +4,14 @@ A text's words are scored by each language's log frequency where they are
 known; an unseen word by the log frequency of its character n-grams, the
 longest length first of which at least one n-gram is known, down to single
 characters. Scores add up over the whole text; the prediction is the language
-with the highest posterior, and the score is that posterior.
+with the highest posterior, and the score is that posterior. Words are runs of
+letters of the text in lower case, found by one rule in training and prediction.
 
 The model is fitted on a bounded sample of labelled texts, chosen by a hash of
-the id at a rate a language; its size is bounded by `max_words` and
-`max_grams`, so it can be broadcast. Prediction reads nothing but the text.
+the id: about `max_docs_a_language` a language and `max_docs` in all, so that it
+can be broadcast however many labels there are. It keeps every word and n-gram
+of the sample, with counts for the languages that have it. Prediction reads
+nothing but the text.
 
 Defined results: `und` with score 0 for null text, text without letters, and
 where nothing was learned; ties go to the language that sorts first; labelled
@@ -19,13 +22,14 @@ named like a result column.
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +37,82 @@ from .common import Scratch, carried, ready_workers
 
 UNKNOWN = "und"
 LONGEST_GRAM = 5
-#: Letters, one or more.
-_WORD = re.compile(r"[^\W\d_]+")
-#: Unseen words remembered at once in a worker.
-MAX_REMEMBERED = 200_000
+#: Letters, and numbers that are no digits, such as fractions; the few runs that hold one are cut there.
+_RUN = re.compile(r"[^\W\d_]+")
+#: Scores of unseen words remembered at once in a worker, over all languages.
+MAX_REMEMBERED = 2_000_000
+#: Up to so many labels their sampling rates (some 50 bytes each) are broadcast.
+MAX_BROADCAST_LABELS = 10_000
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    runs = _RUN.findall(text.lower()) if text else []
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
+def grams_of(word: str, n: int) -> list[str]:
+    """Character n-grams of a word with a mark at each end."""
+    padded = f"_{word}_"
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
+@dataclass
+class Frequencies:
+    """Log frequencies of keys by language: a floor for each language, and what the counts of those that have a key add to it."""
+
+    floor: np.ndarray
+    keys: list[str] = field(default_factory=list)
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    languages: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    added: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float64))
+
+    @classmethod
+    def of(cls, counts: pa.Table, languages: list[str], smoothing: float) -> Frequencies:
+        """counts: key and its list of (lang, count)."""
+        by = counts.column("by").combine_chunks()
+        flat = by.flatten()
+        place = {x: i for i, x in enumerate(languages)}
+        own = np.array([place[x] for x in flat.field("lang").to_pylist()], np.int32)
+        n = flat.field("count").to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.concatenate([[0], np.cumsum(by.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        total = np.bincount(own, weights=n, minlength=len(languages)) + smoothing * max(1, len(counts))
+        return cls(np.log(smoothing / total), counts.column("key").to_pylist(), ends, own, np.log1p(n / smoothing))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
+
+    def find(self, keys: list[str]) -> list[int]:
+        if "place" not in self.__dict__:
+            self.place = {k: i for i, k in enumerate(self.keys)}
+        return [i for k in keys if (i := self.place.get(k)) is not None]
+
+    def mean(self, at: list[int]) -> np.ndarray:
+        """Mean log frequencies of the keys at these places."""
+        out = self.floor.copy()
+        for i in at:
+            a, z = self.ends[i], self.ends[i + 1]
+            out[self.languages[a:z]] += self.added[a:z] / len(at)
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    words: Frequencies | None = None
+    #: By length of the n-grams, from one.
+    grams: list[Frequencies] = field(default_factory=list)
 
-    def word_scores(self, word: str) -> tuple[float, ...]:
+    def word_scores(self, word: str) -> np.ndarray:
         """Log frequencies of a word by language; of its n-grams where it is unseen."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded = f"_{word}_"
-        for n in range(LONGEST_GRAM, 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if found:
-                return tuple(sum(x) / len(found) for x in zip(*found, strict=True))
-        return (0.0,) * len(self.languages)
+        if at := self.words.find([word]):
+            return self.words.mean(at)
+        for n in range(len(self.grams), 0, -1):
+            if at := self.grams[n - 1].find(grams_of(word, n)):
+                return self.grams[n - 1].mean(at)
+        return np.zeros(len(self.languages))
 
 
 class Scorer:
@@ -78,9 +135,9 @@ class Scorer:
         return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not (words := _WORD.findall(text.lower())):
+        if not self.model.languages or not (words := words_of(text)):
             return UNKNOWN, 0.0
-        if len(self.place) > MAX_REMEMBERED:
+        if len(self.place) * self.rows.shape[1] > MAX_REMEMBERED:
             self._forget()
         get, add = self.place.get, self._add
         at = [i if (i := get(w)) is not None else add(w) for w in words]
@@ -89,46 +146,44 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def training_sample(docs: DataFrame, max_docs_a_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text) of labelled rows, about so many a language at most, by a hash of the id."""
+def training_sample(docs: DataFrame, max_docs_a_language: int, max_docs: int, id_col: str, text_col: str, lang_col: str, scratch: Scratch) -> DataFrame:
+    """(lang, text) of labelled rows, about so many a language and in all, by a hash of the id."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("fit"), F.col(id_col)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs_a_language / n))).otherwise(share)
-    return labelled.where((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= share).select("lang", "text")
+    counts = scratch.save(labelled.groupBy("lang").count(), "labels")
+    labels = counts.count()
+    share = F.least(F.lit(1.0), F.lit(min(max_docs_a_language, max_docs / max(1, labels))) / F.col("count"))
+    rates = counts.select("lang", share.alias("share"))
+    rated = labelled.join(F.broadcast(rates) if labels <= MAX_BROADCAST_LABELS else rates, "lang")
+    return rated.where((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= F.col("share")).select("lang", "text")
 
 
-def fitted(docs: DataFrame, max_docs_a_language: int = 1000, max_words: int = 60_000, max_grams: int = 100_000, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> Model:
-    """A model from labelled rows; words and n-grams met twice or more, the most frequent up to the bounds."""
+def fitted(docs: DataFrame, max_docs_a_language: int = 1000, max_docs: int = 20_000, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> Model:
+    """A model from labelled rows, of all words and n-grams in the sample."""
+    ready_workers(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "langid")
-    sample = training_sample(docs, max_docs_a_language, id_col, text_col, lang_col)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = scratch.save(words.groupBy("lang", "word").count(), "words")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
-    languages = sorted(totals)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter((lang, w) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in words_of(text))
+            langs, words = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "count"])
+
+    sample = training_sample(docs, max_docs_a_language, max_docs, id_col, text_col, lang_col, scratch)
+    words = sample.mapInArrow(count, "lang string, key string, count long")
+    words = scratch.save(words.groupBy("lang", "key").agg(F.sum("count").alias("count")), "words")
+    padded = words.withColumn("p", F.concat(F.lit("_"), "key", F.lit("_")))
+    grams = padded.select("lang", "count", F.explode(F.expr(f"flatten(transform(sequence(1, {LONGEST_GRAM}), n -> if(length(p) >= n, transform(sequence(1, length(p) - n + 1), i -> substring(p, i, n)), array())))")).alias("key"))
+    grams = scratch.save(grams.groupBy("lang", "key").agg(F.sum("count").alias("count")), "grams")
+    # As many as the sample has: what is collected is bounded by it.
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     if not languages:
         return Model([])
 
-    def by_language(rows: DataFrame, key: str, n_of: dict, limit: int) -> dict[str, tuple[float, ...]]:
-        kept = rows.groupBy(key).agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).where("n >= 2").orderBy(F.desc("n"), key).limit(limit).collect()
-        # Log frequencies relative to their mean over languages: what tells languages apart stays.
-        out = {}
-        for r in kept:
-            logs = [math.log((r["by"].get(x, 0) + smoothing) / (n_of[x] + smoothing * limit)) for x in languages]
-            mean = sum(logs) / len(logs)
-            out[r[key]] = tuple(x - mean for x in logs)
-        return out
+    def frequencies(rows: DataFrame) -> Frequencies:
+        by = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lang", "count"))).alias("by"))
+        return Frequencies.of(by.toArrow(), languages, smoothing)
 
-    padded = counts.withColumn("p", F.concat(F.lit("_"), "word", F.lit("_")))
-    grams = padded.select("lang", "count", F.explode(F.expr(f"flatten(transform(sequence(1, {LONGEST_GRAM}), n -> if(length(p) >= n, transform(sequence(1, length(p) - n + 1), i -> substring(p, i, n)), array())))")).alias("gram"))
-    gram_counts = scratch.save(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")), "grams")
-    by_length = {(r["lang"], r["l"]): r["n"] for r in gram_counts.groupBy("lang", F.length("gram").alias("l")).agg(F.sum("count").alias("n")).collect()}
-    model = Model(languages, by_language(counts, "word", totals, max_words))
-    for n in range(1, LONGEST_GRAM + 1):
-        own = gram_counts.where(F.length("gram") == n)
-        model.grams |= by_language(own, "gram", {x: by_length.get((x, n), 0) for x in languages}, max_grams // LONGEST_GRAM)
-    return model
+    return Model(languages, frequencies(words), [frequencies(grams.where(F.length("key") == n)) for n in range(1, LONGEST_GRAM + 1)])
 
 
 _scorers: dict[int, Scorer] = {}

@@ -247,17 +247,70 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def frequencies(rows):
+    """Of {key: per-language numbers}."""
+    keys, n = list(rows), len(rows)
+    return langid.Frequencies(np.zeros(2), keys, 2 * np.arange(n + 1), np.array([0, 1] * n, np.int32), np.array([x for k in keys for x in rows[k]], float))
+
+
 def test_language_backoff():
-    m = langid.Model(["a", "b"], {"known": (1.0, -1.0)}, {"_xyz_": (-2.0, 2.0), "x": (0.5, -0.5), "q": (-1.0, 1.0)})
-    assert m.word_scores("known") == (1.0, -1.0)
-    assert m.word_scores("xyz") == (-2.0, 2.0)  # its longest known n-gram
-    assert m.word_scores("xq") == (-0.25, 0.25) and m.word_scores("zz") == (0.0, 0.0)
+    none = frequencies({})
+    m = langid.Model(["a", "b"], frequencies({"known": (1.0, -1.0)}), [frequencies({"x": (0.5, -0.5), "q": (-1.0, 1.0)}), none, none, none, frequencies({"_xyz_": (-2.0, 2.0)})])
+    assert m.word_scores("known").tolist() == [1.0, -1.0]
+    assert m.word_scores("xyz").tolist() == [-2.0, 2.0]  # its longest known n-gram
+    assert m.word_scores("xq").tolist() == [-0.25, 0.25] and m.word_scores("zz").tolist() == [0.0, 0.0]
     s = langid.Scorer(m)
     assert s.predict("KNOWN known") == ("a", pytest.approx(1 / (1 + np.exp(-4))))
     assert s.predict("zz") == ("a", 0.5)
     assert s.predict(None) == s.predict("123 !?") == s.predict("") == ("und", 0.0)
 
 
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ ٣ ५", "_ 1_2 …", "³x²y"])
+def test_words_are_letters_only(text):
+    want, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            want.append(word)
+            word = ""
+    assert langid.words_of(text) == want
+
+
+def test_languages_equal_brute_force(spark, small):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in small.collect()]
+    taught = [(lang, w) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    known, languages = Counter(taught), sorted({lang for lang, _ in taught})
+    grams = [Counter() for _ in range(6)]
+    for (lang, w), n in known.items():
+        p = f"_{w}_"
+        for size in range(1, 6):
+            for k in range(len(p) - size + 1):
+                grams[size][lang, p[k : k + size]] += n
+    tables = [known, *grams[1:]]
+    sums = [[sum(n for (x, _), n in t.items() if x == lang) for lang in languages] for t in tables]
+    vocabulary = [{k for _, k in t} for t in tables]
+
+    def logs(size, keys):
+        keys = [k for k in keys if k in vocabulary[size]]
+        return [sum(np.log((tables[size][lang, k] + 0.5) / (sums[size][x] + 0.5 * len(vocabulary[size]))) for k in keys) / len(keys) for x, lang in enumerate(languages)] if keys else None
+
+    def word(w):
+        p = f"_{w}_"
+        return logs(0, [w]) or next((found for size in range(5, 0, -1) if (found := logs(size, [p[k : k + size] for k in range(len(p) - size + 1)]))), [0.0] * len(languages))
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identified(small).collect()}
+    for i, t, _ in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())[:400]
+        if len(words) == 400:
+            continue  # the plain way is slow
+        if not words:
+            assert got[i] == ("und", 0.0)
+            continue
+        total = np.sum([word(w) for w in words], axis=0)
+        assert got[i] == (languages[int(total.argmax())], pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-9))
+
+
 def test_language_odd_rows(odd, clashing, none):
     got = langid.identified(clashing)
     assert got.count() == odd.count()
