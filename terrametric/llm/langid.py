@@ -82,19 +82,23 @@ class Frequencies:
         return cls(np.log(smoothing / total), counts.column("key").to_pylist(), ends, own, np.log1p(n / smoothing))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "place"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "lists")}
 
     def find(self, keys: list[str]) -> list[int]:
         if "place" not in self.__dict__:
             self.place = {k: i for i, k in enumerate(self.keys)}
-        return [i for k in keys if (i := self.place.get(k)) is not None]
-
-    def mean(self, at: list[int]) -> np.ndarray:
-        """Mean log frequencies of the keys at these places."""
-        out = self.floor.copy()
+            # Few numbers a key: plain lists are faster to add up than arrays.
+            self.lists = self.floor.tolist(), self.ends.tolist(), self.languages.tolist(), self.added.tolist()
+        get = self.place.get
+        return [i for k in keys if (i := get(k)) is not None]
+
+    def mean(self, at: list[int]) -> list[float]:
+        """Mean log frequencies of the keys at these places, as find() gives them."""
+        floor, ends, languages, added = self.lists
+        out, n = floor.copy(), len(at)
         for i in at:
-            a, z = self.ends[i], self.ends[i + 1]
-            out[self.languages[a:z]] += self.added[a:z] / len(at)
+            for k in range(ends[i], ends[i + 1]):
+                out[languages[k]] += added[k] / n
         return out
 
 
@@ -105,14 +109,14 @@ class Model:
     #: By length of the n-grams, from one.
     grams: list[Frequencies] = field(default_factory=list)
 
-    def word_scores(self, word: str) -> np.ndarray:
+    def word_scores(self, word: str) -> list[float]:
         """Log frequencies of a word by language; of its n-grams where it is unseen."""
         if at := self.words.find([word]):
             return self.words.mean(at)
         for n in range(len(self.grams), 0, -1):
             if at := self.grams[n - 1].find(grams_of(word, n)):
                 return self.grams[n - 1].mean(at)
-        return np.zeros(len(self.languages))
+        return [0.0] * len(self.languages)
 
 
 class Scorer:
@@ -123,8 +127,15 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = np.empty((1024, max(1, len(self.model.languages))))
+        """Start anew, with the known words if there is room for them all."""
+        words, n = self.model.words, max(1, len(self.model.languages))
+        known = words is not None and 2 * len(words.keys) * n <= MAX_REMEMBERED
+        self.place: dict[str, int] = {k: i for i, k in enumerate(words.keys)} if known else {}
+        self.rows = np.empty((max(1024, 2 * len(self.place)), n))
+        if known:
+            rows = np.tile(words.floor, (len(words.keys), 1))
+            rows[np.repeat(np.arange(len(rows)), np.diff(words.ends)), words.languages] += words.added
+            self.rows[: len(rows)] = rows
 
     def _add(self, word: str) -> int:
         i = len(self.place)

@@ -336,7 +336,9 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None, id_col: str =
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     found = scratch.save(find(docs, scratch=scratch, id_col=id_col, text_col=text_col, **parameters), "components")
-    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
-    keyed = docs.select(carried(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
-    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (keyed["text_hash"] == stays["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    # Keys without nulls, so that the semi-join's exchange serves the last step too.
+    id_known, id_or_zero = F.col("doc_id").isNotNull().alias("id_known"), F.coalesce("doc_id", F.lit(0)).alias("id_or_zero")
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*").select(id_known, id_or_zero, "text_hash")
+    keyed = docs.select(carried(docs), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")).select("row", id_known, id_or_zero, "text_hash")
+    key = ["id_known", "id_or_zero", "text_hash"]
+    return keyed.join(stays, key, "left_semi").dropDuplicates(key).select("row.*")

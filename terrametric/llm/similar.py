@@ -381,7 +381,7 @@ def links_between(nodes: DataFrame, docs: DataFrame, cut: Layout, similarity: fl
 
     # A node's tie to the least node of all, verified.
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(members.select("node.text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = scratch.save(texts.join(members.select("node.text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "texts")
     chosen = scratch.save(loose.groupBy("u").agg(F.min("v").alias("v")), "chosen")
     holds = scratch.save(verified(chosen, texts, similarity, words_a_shingle), "holds")
     clusters = connected_components(holds, scratch, name="holds").select(F.col("node").alias("print"), F.col("root").alias("cluster"))

@@ -256,9 +256,9 @@ def frequencies(rows):
 def test_language_backoff():
     none = frequencies({})
     m = langid.Model(["a", "b"], frequencies({"known": (1.0, -1.0)}), [frequencies({"x": (0.5, -0.5), "q": (-1.0, 1.0)}), none, none, none, frequencies({"_xyz_": (-2.0, 2.0)})])
-    assert m.word_scores("known").tolist() == [1.0, -1.0]
-    assert m.word_scores("xyz").tolist() == [-2.0, 2.0]  # its longest known n-gram
-    assert m.word_scores("xq").tolist() == [-0.25, 0.25] and m.word_scores("zz").tolist() == [0.0, 0.0]
+    assert m.word_scores("known") == [1.0, -1.0]
+    assert m.word_scores("xyz") == [-2.0, 2.0]  # its longest known n-gram
+    assert m.word_scores("xq") == [-0.25, 0.25] and m.word_scores("zz") == [0.0, 0.0]
     s = langid.Scorer(m)
     assert s.predict("KNOWN known") == ("a", pytest.approx(1 / (1 + np.exp(-4))))
     assert s.predict("zz") == ("a", 0.5)
