@@ -2,19 +2,21 @@
 
 Rows are ordered by a 128-bit key, the hash of the text and then of the row's
 id, so that equal texts lie together and yet a group of copies of any size can
-be split. Candidate boundaries are probed in rounds: each partition counts the
+be split. A boundary that falls into a group is moved to the group's nearer
+end unless the group is larger than a given share of a shard. Candidate boundaries are probed in rounds: each partition counts the
 exact bytes between neighbouring probes, the sums tell how many bytes lie
 below each, and the intervals that hold a wanted boundary are probed more
 finely until it is met within the tolerance or the keys there cannot be told
 apart. Then all rows are exchanged once.
 
-The exchange goes by sub-ranges of a shard whose number follows the corpus, so
-that no task holds a shard; the rows before each sub-range are known from the
-counts, which makes slots gapless without a second pass.
+The exchange goes by parts of a shard whose number follows the corpus, so that
+no task holds a shard; counts of the keys tell how many rows lie in the parts
+before, which makes slots gapless.
 
-Only histograms of a few thousand probes reach the driver.
+Only histograms of a few thousand probes reach the driver, and a row for each
+boundary that falls into a group.
 
-Defined results: null text counts as empty; rows that share id and text have
+Defined results: null text counts as empty and is in the group of empty texts; rows that share id and text have
 the same key and lie together in any order; a null id is a value of its own;
 an empty table gives an empty result; more shards than rows leaves shards
 empty; other columns are carried along, but for one named like a result column.
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, carried, ready_workers
 
 KEY_BITS = 128
+#: Up to so many parts their counts (some 20 bytes each) are broadcast.
+MAX_BROADCAST_PARTS = 100_000
 _HALF = 1 << 63
 
 
@@ -124,34 +128,58 @@ def splitters(keys: DataFrame, boundaries: list[Boundary], fan: int = 2048, roun
     raise RuntimeError(f"splitters were not found in {rounds} rounds")
 
 
-def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, part_bytes: int = 16 << 20, max_parts_a_shard: int = 2048, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def kept_whole(keys: DataFrame, boundaries: list[Boundary], most: float) -> list[Boundary]:
+    """Moves each boundary that cuts through a group of equal texts to the group's nearer end, if the group has at most so many bytes."""
+    cut = {b.key: b for b in boundaries if b.key and b.key < 1 << KEY_BITS and b.key & ((1 << 64) - 1)}
+    if not cut:
+        return boundaries
+    inside = F.lit(False)
+    for key in cut:
+        inside = inside | (F.col("k1") == (key >> 64) - _HALF)
+    below = [F.sum(F.when(F.col("k2") < (key & ((1 << 64) - 1)) - _HALF, F.struct("size", F.lit(1).alias("n"))[x]).otherwise(0)).alias(f"{x}{i}") for i, key in enumerate(cut) for x in ("size", "n")]
+    found = {r["k1"] + _HALF: r for r in keys.where(inside).groupBy("k1").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), *below).collect()}  # a row a boundary at most
+    for i, (key, b) in enumerate(cut.items()):
+        r = found.get(key >> 64)
+        if r is None or r["bytes"] > most:
+            continue
+        down = 2 * r[f"size{i}"] <= r["bytes"]
+        b.key = (key >> 64) + (not down) << 64
+        b.bytes_below += (0 if down else r["bytes"]) - r[f"size{i}"]
+        b.rows_below += (0 if down else r["rows"]) - r[f"n{i}"]
+    return boundaries
+
+
+def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005, whole: float = 0.05, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The input rows with `size` (UTF-8 bytes and one), `shard` and `slot` (gapless from 0 in each shard).
 
     tolerance: of a shard's mean bytes, how far a shard's end may be off; single
-    documents and rows of equal key may exceed it.
+    documents and rows of equal key may exceed it. whole: groups of equal texts
+    up to this share of a shard's mean bytes lie in one shard, which moves its
+    ends by half as much at most; larger groups are split where shards end.
     """
     spark = docs.sparkSession
     ready_workers(spark)
     scratch = scratch or Scratch(spark, "sharding")
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
-    keyed = docs.select(carried(docs, "size", "shard", "slot"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2"), size.alias("size"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(carried(docs, "size", "shard", "slot"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col).isNull(), F.col(id_col), text).alias("k2"), size.alias("size"))
     keys = scratch.save(keyed.select("k1", "k2", "size"), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(max_parts_a_shard, math.ceil(total / shards / part_bytes)))
     mean = total / shards
-    wanted = [Boundary(total * j / (shards * parts), (tolerance * mean) if j % parts == 0 else 0.25 * mean / parts) for j in range(1, shards * parts)]
-    found = splitters(keys, wanted) if total else wanted
-    edges = [b.key or 0 for b in found]
-    starts = [0, *(b.rows_below for b in found)]
-    before = np.array([starts[p] - starts[p // parts * parts] for p in range(shards * parts)], np.int64)
-    packed_edges = _bytes(edges)
-
-    @F.pandas_udf("struct<part int, before long>")
-    def place(k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(packed_edges, _packed(k1.to_numpy(), k2.to_numpy()), side="right")
-        return pd.DataFrame({"part": at.astype(np.int32), "before": before[at]})
-
-    placed = keyed.withColumn("place", place("k1", "k2")).select("row", "size", "k1", "k2", "place.part", "place.before")
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2"))
-    shard = F.floor(F.col("part") / parts).cast("int")
-    return placed.withColumn("nth", nth).select("row.*", "size", shard.alias("shard"), (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"))
+    wanted = [Boundary(total * j / shards, tolerance * mean) for j in range(1, shards)]
+    found = kept_whole(keys, splitters(keys, wanted), whole * mean) if total else wanted
+    edges = _bytes([min(b.key or 0, (1 << KEY_BITS) - 1) for b in found])
+
+    @F.pandas_udf("int")
+    def shard(k1: pd.Series, k2: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, _packed(k1.to_numpy(), k2.to_numpy()), side="right").astype(np.int32))
+
+    # A shard is dealt into parts by another hash, so that no task holds one, nor a group of equal texts.
+    parts = max(1, math.ceil(mean / part_bytes))
+    placed = lambda df: df.withColumn("shard", shard("k1", "k2")).withColumn("part", F.pmod(F.xxhash64("k2"), F.lit(parts)).cast("int"))
+    sizes = scratch.save(placed(keys).groupBy("shard", "part").count(), "parts")
+    before = sizes.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
+    before = F.broadcast(before) if shards * parts <= MAX_BROADCAST_PARTS else before
+    joined = placed(keyed).join(before, ["shard", "part"])
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k1", "k2"))
+    return joined.withColumn("nth", nth).select("row.*", "size", "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"))
