@@ -20,9 +20,11 @@ Vectors with little structure in many dimensions lie near all borders: the join
 is then close to comparing all pairs of distinct vectors, as any exact method
 would be; it is spread over all tasks and holds no more in each.
 
-Defined results: null and zero vectors, vectors with null or non-finite
-components, and vectors whose length is not the table's most frequent one link
-with nothing; copies of a vector link with each other; a null id is counted as
+Vectors are compared with those of their own length; each length with more
+than `cell_size` vectors has pivots of its own, any other is one cell.
+
+Defined results: null and zero vectors and vectors with null or non-finite
+components link with nothing; copies of a vector link with each other; a null id is counted as
 a link but never names a component, unless all its members' ids are null;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -46,8 +48,12 @@ MARGIN = 1e-4
 SLACK = 1e-6
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of vectors: each length, the places of those that have it, and their matrix."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dim)
+        yield dim, at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -65,12 +71,14 @@ class Cells:
     """Home cell and replicas of unit vectors."""
 
     def __init__(self, pivots: np.ndarray, cosine: float):
-        self.pivots = pivots
+        self.pivots = pivots  # none: all vectors are in one cell
         self.radius = math.sqrt(2 - 2 * cosine)
         self.apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(home per vector, and for all replicas the vector's place and the cell)."""
+        if len(self.pivots) < 2:
+            return np.zeros(len(x), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         d2 = np.maximum(2 - 2 * x @ self.pivots.T, 0)
         home = d2.argmin(axis=1)
         own = d2[np.arange(len(x)), home][:, None]
@@ -128,61 +136,68 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, cell_size: int = 40
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x"))
     odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = F.coalesce(F.col("x").isNotNull() & ~odd & F.exists("x", lambda v: v != 0), F.lit(False))
-    dims = given.where(sound).groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = dims["dim"] if dims else 0
-    keyed = given.withColumn("sound", sound & (F.size("x") == dim))
     h1, h2 = wide_hash("x")
-    keyed = keyed.withColumn("h1", h1).withColumn("h2", h2)
+    keyed = given.withColumn("sound", sound).withColumn("h1", h1).withColumn("h2", h2)
     distinct = keyed.where("sound").groupBy("h1", "h2").agg(F.any_value("x").alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     distinct = scratch.save(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    n = distinct.count()
-    picked = distinct.orderBy("h1", "h2").limit(max(1, min(max_pivots, -(-n // cell_size)))).select("x").collect()
-    if not picked:
-        return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    cells = Cells(_unit(np.array([r["x"] for r in picked], np.float64)), cosine)
+    # Lengths with more than a cell of vectors share the pivots by their numbers of vectors.
+    large = distinct.groupBy(F.size("x").alias("dim")).count().where(F.col("count") > cell_size).orderBy(F.desc("count"), "dim").limit(max_pivots).collect()
+    scale = min(1.0, max_pivots / max(1, sum(-(-r["count"] // cell_size) for r in large)))
+    pivots = {}
+    for r in large:
+        picked = distinct.where(F.size("x") == r["dim"]).orderBy("h1", "h2").limit(max(1, math.floor(scale * -(-r["count"] // cell_size)))).select("x").collect()
+        pivots[r["dim"]] = _unit(np.array([p["x"] for p in picked], np.float64))
+    of_length = {dim: Cells(p, cosine) for dim, p in pivots.items()}
+    one_cell = Cells(np.zeros((0, 0)), cosine)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes, guests = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots), np.int64)
+        found = {dim: np.zeros((2, len(cells.pivots)), np.int64) for dim, cells in of_length.items()}
         for b in batches:
-            home, _, cell = cells.of(_unit(_matrix(b.column(0), dim)))
-            homes += np.bincount(home, minlength=len(homes))
-            guests += np.bincount(cell, minlength=len(guests))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(homes)), pa.int32()), pa.array(homes), pa.array(guests)], ["cell", "homes", "guests"])
-
-    found = distinct.select("x").mapInArrow(sizes, "cell int, homes long, guests long").groupBy("cell").agg(F.sum("homes"), F.sum("guests")).collect()
-    home_blocks, guest_blocks = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots), np.int64)
-    for c, h, g in found:  # a row per pivot
-        home_blocks[c], guest_blocks[c] = -(-h // block), -(-g // block)
-
-    tasks_of = "cell int, left int, right int, side int, uid long, weight long, x binary"
+            for dim, _, x in _by_length(b.column(0)):
+                if dim in found:
+                    home, _, cell = of_length[dim].of(_unit(x))
+                    found[dim] += np.stack([np.bincount(c, minlength=found[dim].shape[1]) for c in (home, cell)])
+        for dim, n in found.items():
+            k = np.arange(n.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim, np.int32)), pa.array(k), pa.array(n[0]), pa.array(n[1])], ["dim", "cell", "homes", "guests"])
+
+    blocks = {dim: np.zeros((2, len(cells.pivots)), np.int64) for dim, cells in of_length.items()}
+    if blocks:
+        for dim, c, h, g in distinct.select("x").mapInArrow(sizes, "dim int, cell int, homes long, guests long").groupBy("dim", "cell").agg(F.sum("homes"), F.sum("guests")).collect():  # a row per pivot
+            blocks[dim][:, c] = -(-h // block), -(-g // block)
+    # Any other length has at most a cell of vectors, but for lengths beyond the pivots' number.
+    few = np.array([[-(-cell_size // block)], [0]])
+
+    tasks_of = "dim int, cell int, left int, right int, side int, uid long, weight long, x binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = _matrix(b.column(2), dim)
-            uid, weight = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            home, guest, cell = cells.of(_unit(raw))
-            mixed = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)  # spreads block numbers
-            rows: list[tuple] = []  # (place, cell, left block, right block, side)
-            for i, c in enumerate(home.tolist()):
-                h, g = int(home_blocks[c]), int(guest_blocks[c])
-                own = int(mixed[i] % np.uint64(h))
-                rows += [(i, c, min(own, k), max(own, k), int(own > k)) for k in range(h)]
-                rows += [(i, c, own, -1 - k, 0) for k in range(g)]  # right block -1 - k: the cell's k-th block of guests
-            for i, c in zip(guest.tolist(), cell.tolist(), strict=True):
-                own = int(mixed[i] % np.uint64(guest_blocks[c]))
-                rows += [(i, c, k, -1 - own, 1) for k in range(int(home_blocks[c]))]
-            for s in range(0, len(rows), 20_000):
-                part = np.array(rows[s : s + 20_000], np.int64).reshape(-1, 5)
-                at = part[:, 0]
-                yield pa.RecordBatch.from_arrays([*(pa.array(part[:, k], pa.int32()) for k in (1, 2, 3, 4)), pa.array(uid[at]), pa.array(weight[at]), pa.array([raw[i].tobytes() for i in at.tolist()], pa.binary())], ["cell", "left", "right", "side", "uid", "weight", "x"])
+            all_uid, all_weight = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for dim, places, raw in _by_length(b.column(2)):
+                uid, weight, (home_blocks, guest_blocks) = all_uid[places], all_weight[places], blocks.get(dim, few)
+                home, guest, cell = of_length.get(dim, one_cell).of(_unit(raw))
+                mixed = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)  # spreads block numbers
+                rows: list[tuple] = []  # (place, cell, left block, right block, side)
+                for i, c in enumerate(home.tolist()):
+                    h, g = int(home_blocks[c]), int(guest_blocks[c])
+                    own = int(mixed[i] % np.uint64(h))
+                    rows += [(i, c, min(own, k), max(own, k), int(own > k)) for k in range(h)]
+                    rows += [(i, c, own, -1 - k, 0) for k in range(g)]  # right block -1 - k: the cell's k-th block of guests
+                for i, c in zip(guest.tolist(), cell.tolist(), strict=True):
+                    own = int(mixed[i] % np.uint64(guest_blocks[c]))
+                    rows += [(i, c, k, -1 - own, 1) for k in range(int(home_blocks[c]))]
+                for s in range(0, len(rows), 20_000):
+                    part = np.array(rows[s : s + 20_000], np.int64).reshape(-1, 5)
+                    at = part[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), *(pa.array(part[:, k], pa.int32()) for k in (1, 2, 3, 4)), pa.array(uid[at]), pa.array(weight[at]), pa.array([raw[i].tobytes() for i in at.tolist()], pa.binary())], ["dim", "cell", "left", "right", "side", "uid", "weight", "x"])
 
     kind = np.float32 if dict(given.dtypes)["x"] == "array<float>" else np.float64
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
         uid, weight = rows["uid"].to_numpy(), rows["weight"].to_numpy()
-        x = _unit(np.frombuffer(b"".join(rows["x"].to_pylist()), kind).reshape(-1, dim))
-        parts = [np.flatnonzero(side == s) for s in ((0,) if key[1].as_py() == key[2].as_py() else (0, 1))]
+        x = _unit(np.frombuffer(b"".join(rows["x"].to_pylist()), kind).reshape(-1, key[0].as_py()))
+        parts = [np.flatnonzero(side == s) for s in ((0,) if key[2].as_py() == key[3].as_py() else (0, 1))]
         order = np.concatenate(parts)
         counts, forest = _compare([(x[p], weight[p]) for p in parts], cosine)
         own = uid[order]
@@ -191,7 +206,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, cell_size: int = 40
         return pa.table({"link": pa.array([False] * len(some) + [True] * len(u), pa.bool_()), "a": pa.array(np.concatenate([own[some], own[u]]), pa.int64()), "b": pa.array(np.concatenate([counts[some], own[v]]), pa.int64())})
 
     dealt = distinct.select("uid", "weight", F.col("x").cast("array<float>" if kind is np.float32 else "array<double>").alias("x")).mapInArrow(deal, tasks_of)
-    done = scratch.save(dealt.groupBy("cell", "left", "right").applyInArrow(join, "link boolean, a long, b long"), "links")
+    done = scratch.save(dealt.groupBy("dim", "cell", "left", "right").applyInArrow(join, "link boolean, a long, b long"), "links")
     counts = done.where("not link").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("others"))
     roots = connected_components(done.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     members = distinct.select("uid", "h1", "h2", "weight", "least").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))

@@ -165,15 +165,21 @@ def test_line_dedup_of_odd_rows(odd, clashing, none):
 
 
 def brute_links(rows, cosine):
-    sound = [i for i, (_, x) in enumerate(rows) if x is not None and len(x) == 16 and all(v is not None and np.isfinite(v) for v in x) and any(x)]
-    a = np.array([np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in sound])
-    near = a @ a.T >= cosine
-    np.fill_diagonal(near, False)
+    """Vectors are compared with those of their own length."""
     sets, degree = Sets(len(rows)), [0] * len(rows)
-    for i, j in zip(*np.nonzero(near)):
-        sets.join(sound[i], sound[j])
-    for k, i in enumerate(sound):
-        degree[i] = int(near[k].sum())
+    by_length = {}
+    for i, (_, x) in enumerate(rows):
+        if x and all(v is not None and np.isfinite(v) for v in x) and any(x):
+            by_length.setdefault(len(x), []).append(i)
+    for sound in by_length.values():
+        a = np.array([np.array(rows[i][1], float) / np.abs(rows[i][1]).max() for i in sound])
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        near = a @ a.T >= cosine
+        np.fill_diagonal(near, False)
+        for i, j in zip(*np.nonzero(near)):
+            sets.join(sound[i], sound[j])
+        for k, i in enumerate(sound):
+            degree[i] = int(near[k].sum())
     return {rows[i][0]: (degree[i], rows[sets.root(i)][0], sets.root(i) == i) for i in range(len(rows))}
 
 
@@ -183,8 +189,10 @@ def vectors(spark):
     base, rows = rng.normal(size=(20, 16)), []
     for i in range(400):
         rows.append((i, (base[rng.integers(20)] + rng.normal(size=16) * rng.choice([0, 0, 0.05, 0.15, 0.25, 1])).astype(np.float32).tolist()))
-    for x in (None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0] * 5, [1e-30] * 16, [-0.0] * 15 + [1.0], [0.0] * 15 + [1.0]):
+    for x in (None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0] * 5, [1e-30] * 16, [-0.0] * 15 + [1.0], [0.0] * 15 + [1.0], [], [1.0], [-1.0], [2.0], [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]):
         rows.append((len(rows), x))
+    for i in range(150):  # another length with copies and near ones
+        rows.append((len(rows), (np.array([[1, 2, 3], [3, -1, 0], [0, 0, -2]][i % 3]) + rng.normal(size=3) * rng.choice([0, 0.1, 2])).astype(np.float32).tolist()))
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
