@@ -194,34 +194,42 @@ def normal_rows(spark):
     return rows, df.select("id", "lang", "source", *quality.transformed())
 
 
-def brute_estimate(x, steps=4):
-    """The same steps in numpy."""
-    floor = np.diag(np.square(quality.FLOOR))
-    mean = np.median(x, axis=0)
-    cov = np.diag(np.square(1.4826 * np.median(np.abs(np.round(x - mean)), axis=0)))
-    for k in range(steps + 1):
-        y = np.linalg.solve(np.linalg.cholesky(cov / 1e6 + floor), ((x - mean) / 1000).T)
-        d2 = (y**2).sum(axis=0)
-        if k == steps:
-            return d2
-        level = np.floor(64 * np.log2(np.maximum(d2, 1e-6)))
-        core = x[level <= np.quantile(level, quality.CORE)]
-        mean = core.mean(axis=0)
-        cov = quality.CONSISTENCY * (core.T @ core / len(core) - np.outer(mean, mean))
-
-
-def test_distances_equal_brute_force(spark):
+def regular_det(core):
+    return np.linalg.slogdet(quality.CONSISTENCY * np.cov(core.T, bias=True) / 1e6 + np.diag(np.square(quality.FLOOR)))[1]
+
+
+def test_determinant_is_the_smallest_of_all_subsets(spark):
+    """Small groups with outliers, against every subset of the core's size."""
+    from itertools import combinations
+
+    from terrametric.llm.common import Scratch
+
+    rng, groups = np.random.default_rng(8), {}
+    for g in range(5):
+        x = np.round(1000 * rng.normal(size=(12, 5)) * [0.4, 0.2, 0.5, 0.5, 0.1]).astype(int)
+        x[: g % 4] += rng.integers(2000, 9000, (g % 4, 5))
+        groups[g] = x
+    df = spark.createDataFrame([(g, *map(int, x)) for g, xs in groups.items() for x in xs], "g long, x0 long, x1 long, x2 long, x3 long, x4 long")
+    got = {r["g"]: r for r in quality.estimates(df, Scratch(spark, "test"), True).collect()}
+    for g, x in groups.items():
+        want = min(regular_det(x[list(c)]) for c in combinations(range(12), 9))
+        assert got[g]["det"] <= want + 0.05
+        core = min(combinations(range(12), 9), key=lambda c: regular_det(x[list(c)]))
+        if got[g]["det"] <= want + 1e-6:
+            assert np.allclose([got[g][f"m{i}"] for i in range(5)], x[list(core)].mean(axis=0) / 1000)
+
+
+def test_outliers_of_large_and_small_groups(spark):
     from terrametric.llm.common import Scratch
 
     rows, df = normal_rows(spark)
-    found = quality._with_distance(df, quality.estimates(df, Scratch(spark, "test")), True).collect()
-    xs = {r["id"]: np.array([r[f"x{k}"] for k in range(5)], float) for r in df.collect()}
-    got = {r["id"]: r["d2"] for r in found}
-    for lang in ("en", "de"):
-        ids = [r[0] for r in rows if r[1] == lang]
-        want = brute_estimate(np.array([xs[i] for i in ids]))
-        assert np.allclose([got[i] for i in ids], want, rtol=1e-6)
-    assert all(got[i] > quality.CUTOFF for i in (2000, 2001, 2002)) and got[2003] is None
+    given, members, few = quality.memberships(df, Scratch(spark, "test"), 50)
+    groups = {(r["lang"], r["source"]): r["g"] for r in given.collect()}
+    assert few and len(set(groups.values())) == 3 and members.count() == 1203 + 1204  # fr: judged by all rows
+    found = quality.estimates(members, Scratch(spark, "test"), True).drop("det")
+    named = df.where("lang = 'en'").withColumn("g", F.lit(groups["en", "s"])).unionByName(df.where("lang = 'de'").withColumn("g", F.lit(groups["de", None]))).unionByName(df.where("lang = 'fr'").withColumn("g", F.lit(groups["fr", "s"])))
+    got = {r["id"]: r["d2"] for r in quality._with_distance(named, found, True).collect()}
+    assert all(got[i] > quality.CUTOFF for i in (2000, 2001, 2002)) and got[2003] > 15  # far from texts of either language
     assert sum(got[i] > quality.CUTOFF for i in range(1200)) == 0
 
 
