@@ -52,3 +52,8 @@ def between(ts: ColumnOrName, first: str, last: str) -> Column:
 
 def formatted(ts: ColumnOrName) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+def parse_timestamp(text: ColumnOrName, pattern: str = "yyyyMMdd") -> Column:
+    """A timestamp from text in a given form; null where it has another one."""
+    return F.try_to_timestamp(_c(text), F.lit(pattern)).cast("timestamp_ntz")

@@ -168,9 +168,10 @@ def boxes_meet(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def intersects(g: ColumnOrName, polygon: ColumnOrName) -> Column:
-    """A vertex inside, or edges that cross or touch."""
+    """A vertex of either inside the other, or edges that cross or touch."""
     inside = F.exists(vertices(g), lambda p: contains(polygon, p["lng"], p["lat"]))
-    return boxes_meet(g, polygon) & (inside | edges_cross(g, polygon))
+    around = _c(g)["kind"].endswith("Polygon") & F.exists(vertices(polygon), lambda p: contains(g, p["lng"], p["lat"]))
+    return boxes_meet(g, polygon) & (inside | around | edges_cross(g, polygon))
 
 
 def covers(outer: ColumnOrName, inner: ColumnOrName) -> Column:
@@ -211,9 +212,17 @@ def buffer(p: Column, metres: float | Column, corners: int = 64) -> Column:
     return geometry("Polygon", F.array(F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda i: corner(F.when(i == corners, 0).otherwise(i)))))
 
 
+def ring_area(ring: Column) -> Column:
+    """Twice the signed area in square degrees: positive where the ring runs counter-clockwise."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: (q["lng"] - p["lng"]) * (q["lat"] + p["lat"]))
+    return -F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+
+
 def exterior(g: ColumnOrName) -> Column:
-    """The polygon without its holes."""
-    return geometry("Polygon", F.slice(_c(g)["parts"], 1, 1))
+    """The polygon, or each of several, without its holes."""
+    several = _c(g)["kind"] == "MultiPolygon"
+    return geometry(_c(g)["kind"], F.when(several, F.filter(_c(g)["parts"], lambda r: ring_area(r) >= 0)).otherwise(F.slice(_c(g)["parts"], 1, 1)))
 
 
 def union_agg(g: ColumnOrName) -> Column:
@@ -234,20 +243,40 @@ def bounds_agg(g: ColumnOrName) -> list[Column]:
 # --- text and binary forms ---
 
 
+def _joined(g: Column, parts: Column, opens: str, closes: str) -> Column:
+    """Written parts of a geometry, nested as its kind asks for."""
+    starts = F.transform(g["parts"], lambda r, i: (i > 0) & (ring_area(r) >= 0))
+    glued = F.array_join(F.zip_with(starts, parts, lambda new, part: F.concat(F.when(new, F.lit(f"{closes}, {opens}")).otherwise(F.lit(", ")), part)), "")
+    polygons = F.concat(F.lit(opens * 2), F.substr(glued, F.lit(3)), F.lit(closes * 2))
+    listed = F.concat(F.lit(opens), F.array_join(parts, ", "), F.lit(closes))
+    return F.when(g["kind"] == "MultiPolygon", polygons).when(g["kind"].isin("Polygon", "MultiLineString", "MultiPoint"), listed).otherwise(F.array_join(parts, ", "))
+
+
 def as_text(g: ColumnOrName) -> Column:
-    """WKT of points, lines and polygons."""
+    """WKT of points, lines and polygons, one or several."""
     pair = lambda p: F.concat_ws(" ", p["lng"].cast("string"), p["lat"].cast("string"))
     lists = F.transform(_c(g)["parts"], lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, pair), ", "), F.lit(")")))
-    body = F.when(_c(g)["kind"].isin("Polygon", "MultiLineString"), F.concat(F.lit("("), F.array_join(lists, ", "), F.lit(")"))).otherwise(F.array_join(lists, ", "))
-    return F.concat(F.upper(_c(g)["kind"]), body)
+    return F.concat(F.upper(_c(g)["kind"]), _joined(_c(g), lists, "(", ")"))
 
 
 def as_geojson(g: ColumnOrName) -> Column:
-    pair = lambda p: F.array(p["lng"], p["lat"])
-    lists = F.transform(_c(g)["parts"], lambda part: F.transform(part, pair))
-    kind = F.concat(F.lit('{"type":"'), _c(g)["kind"], F.lit('","coordinates":'))
-    body = F.when(_c(g)["kind"].isin("Polygon", "MultiLineString"), F.to_json(lists)).when(_c(g)["kind"] == "Point", F.to_json(F.element_at(F.element_at(lists, 1), 1))).otherwise(F.to_json(F.element_at(lists, 1)))
-    return F.concat(kind, body, F.lit("}"))
+    pair = lambda p: F.to_json(F.array(p["lng"], p["lat"]))
+    points = lambda part: F.array_join(F.transform(part, pair), ",")
+    bare = _c(g)["kind"].isin("Point", "MultiPoint")
+    lists = F.transform(_c(g)["parts"], lambda part: F.when(bare, points(part)).otherwise(F.concat(F.lit("["), points(part), F.lit("]"))))
+    return F.concat(F.lit('{"type":"'), _c(g)["kind"], F.lit('","coordinates":'), _joined(_c(g), lists, "[", "]"), F.lit("}"))
+
+
+def _turned(ring: list[tuple[float, float]], outer: bool) -> list[tuple[float, float]]:
+    """The ring counter-clockwise if it is an outer one, else clockwise."""
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+    return ring if (area >= 0) == outer else ring[::-1]
+
+
+def _parts(kind: str, polygons: list) -> list[list[dict]]:
+    """Parts of a geometry from its coordinates: a list of points for each part, of several polygons a list of rings for each."""
+    rings = [_turned(r, k == 0) for polygon in polygons for k, r in enumerate(polygon)] if kind == "MultiPolygon" else polygons
+    return [[{"lng": x, "lat": y} for x, y in r] for r in rings]
 
 
 def parse_wkt(text: str | None) -> dict | None:
@@ -256,16 +285,23 @@ def parse_wkt(text: str | None) -> dict | None:
     if not m:
         return None
     name = ("Multi" if m[1] else "") + {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon"}[m[2].upper()]
-    parts = []
-    for ring in re.findall(r"\(([^()]*)\)", m[3]):
-        try:
-            points = [tuple(map(float, p.split()[:2])) for p in ring.split(",")]
-        except ValueError:
-            return None
-        if any(len(p) != 2 for p in points):
-            return None
-        parts.append([{"lng": x, "lat": y} for x, y in points])
-    return {"kind": name, "parts": parts} if parts else None
+
+    def rings(body: str) -> list[list[tuple[float, float]]]:
+        found = [[tuple(map(float, p.split()[:2])) for p in ring.split(",")] for ring in re.findall(r"\(([^()]*)\)", body)]
+        if any(len(p) != 2 for ring in found for p in ring):
+            raise ValueError
+        return found
+
+    try:
+        if name == "MultiPolygon":
+            own = [rings(x) for x in re.findall(r"\((\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*)\)", m[3])]
+        else:
+            own = rings(m[3])
+    except ValueError:
+        return None
+    if name == "MultiPoint":
+        own = [[p] for points in own for p in points]
+    return {"kind": name, "parts": _parts(name, own)} if own else None
 
 
 def to_wkb(g: dict | None) -> bytes | None:
@@ -284,7 +320,14 @@ def to_wkb(g: dict | None) -> bytes | None:
         return head + ring(flat[0])
     if kind == "Polygon":
         return head + binary.pack("<I", len(flat)) + b"".join(map(ring, flat))
-    single = {4: lambda ps: binary.pack("<BI", 1, 1) + points(ps[:1]), 5: lambda ps: binary.pack("<BI", 1, 2) + ring(ps), 6: lambda ps: binary.pack("<BII", 1, 3, 1) + ring(ps)}[code]
+    if kind == "MultiPolygon":
+        polygons: list[list] = []
+        for r in flat:
+            if not polygons or _turned(r, True) is r:
+                polygons.append([])
+            polygons[-1].append(r)
+        return head + binary.pack("<I", len(polygons)) + b"".join(binary.pack("<BII", 1, 3, len(p)) + b"".join(map(ring, p)) for p in polygons)
+    single = {4: lambda ps: binary.pack("<BI", 1, 1) + points(ps[:1]), 5: lambda ps: binary.pack("<BI", 1, 2) + ring(ps)}[code]
     return head + binary.pack("<I", len(flat)) + b"".join(map(single, flat))
 
 
@@ -300,10 +343,10 @@ def from_text(wkt: ColumnOrName) -> Column:
 
 def as_binary(g: ColumnOrName) -> Column:
     @F.pandas_udf("binary")
-    def write(g: pd.DataFrame) -> pd.Series:
-        return pd.Series([to_wkb({"kind": k, "parts": p}) if k is not None else None for k, p in zip(g["kind"], g["parts"], strict=True)], dtype=object)
+    def write(s: pd.Series) -> pd.Series:
+        return pd.Series([to_wkb(parse_geojson(x)) if x is not None else None for x in s], dtype=object)
 
-    return write(_c(g))
+    return write(as_geojson(g))
 
 
 # --- polylines ---
@@ -430,16 +473,17 @@ def simplify(g: ColumnOrName, metres: float) -> Column:
     """Fewer points, none of the dropped ones further than the tolerance from what stays; rings keep four."""
 
     @F.pandas_udf(GEOMETRY.replace(":", " "))
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(s: pd.Series) -> pd.DataFrame:
         def part(points, closed):
             flat = [(p["lng"], p["lat"]) for p in points]
             new = simplified_points(flat, metres)
             return [{"lng": x, "lat": y} for x, y in (flat if closed and len(new) < 4 else new)]
 
-        parts = [None if ps is None else [part(p, str(k).endswith("Polygon")) for p in ps] for k, ps in zip(g["kind"], g["parts"], strict=True)]
-        return pd.DataFrame({"kind": g["kind"], "parts": parts})
+        shapes = [parse_geojson(x) if x is not None else {"kind": None, "parts": None} for x in s]
+        parts = [None if g["parts"] is None else [part(p, g["kind"].endswith("Polygon")) for p in g["parts"]] for g in shapes]
+        return pd.DataFrame({"kind": [g["kind"] for g in shapes], "parts": parts})
 
-    new = run(_c(g))
+    new = run(as_geojson(g))
     return F.when(_c(g).isNotNull(), new)
 
 
@@ -454,6 +498,12 @@ def parse_geojson(text: str) -> dict:
     """kind and parts of a GeoJSON geometry."""
     g = json.loads(text)
     c = g["coordinates"]
-    depth = {"Point": [[c]], "LineString": [c], "MultiPoint": [[p] for p in c], "MultiLineString": c, "Polygon": c}
-    parts = depth[g["type"]] if g["type"] in depth else [ring for polygon in c for ring in polygon]
-    return {"kind": g["type"], "parts": [[{"lng": float(p[0]), "lat": float(p[1])} for p in part] for part in parts]}
+    kind = g["type"]
+    pairs = lambda points: [(float(p[0]), float(p[1])) for p in points]
+    if kind == "MultiPolygon":
+        own = [[pairs(ring) for ring in polygon] for polygon in c]
+    elif kind in ("Point", "MultiPoint"):
+        own = [pairs([p]) for p in ([c] if kind == "Point" else c)]
+    else:
+        own = [pairs(part) for part in ([c] if kind == "LineString" else c)]
+    return {"kind": kind, "parts": _parts(kind, own)}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators.top import counted_with_first
 
 #: (prompt, uris) -> reply. It is made once per task by a factory, so it may hold a connection.
 Client = Callable[[str, list[str]], str]
@@ -79,5 +80,4 @@ def agreement(judged: DataFrame, verdict: str = "verdict") -> DataFrame:
 
 def categories(df: DataFrame, reply: str = "reply", samples: int = 3) -> DataFrame:
     """Replies by how they begin: counts and the first few in order."""
-    first = F.slice(F.array_sort(F.collect_list(reply)), 1, samples)
-    return df.groupBy(scalar.category(reply).alias("category")).agg(F.count("*").alias("n"), first.alias("samples"))
+    return counted_with_first(df.select(scalar.category(reply).alias("category"), F.col(reply).alias("reply")), "category", "reply", samples, "n", "samples")

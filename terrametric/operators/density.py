@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, grid
 from ..schema import ATTRIBUTES
+from .top import counted_with_first
 
 
 @dataclass(frozen=True)
@@ -59,5 +60,4 @@ def places_count_per_cell(places: DataFrame, request: DensityRequest) -> DataFra
     for a in request.attributes:
         df = df.where(F.col(a))
     keyed = df.select(grid.cells(request.grid, request.cell)(F.col("point")).alias("cell"), "id")
-    ids = F.slice(F.array_sort(F.collect_list("id")), 1, request.samples)
-    return keyed.groupBy("cell").agg(F.count("*").alias("count"), ids.alias("sample_place_ids"))
+    return counted_with_first(keyed, "cell", "id", request.samples, "count", "sample_place_ids")

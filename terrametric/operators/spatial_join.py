@@ -69,12 +69,11 @@ def left_within_distance(left: DataFrame, right: DataFrame, key: str, left_point
 
 
 def crossing_polygons(shapes: DataFrame, polygons: DataFrame, shape: str, polygon: str, shape_id: str, polygon_id: str, cell: float = 0.05) -> DataFrame:
-    """Pairs of a line or polygon and a polygon it meets; shapes that share several cells are paired once."""
+    """(shape_id, polygon_id): a line or polygon and a polygon it meets; shapes that share several cells are paired once."""
     a, b = geo.bounds(shape), geo.bounds(polygon)
     split = lambda df, x: df.withColumn("_cell", F.explode(_cells(x["west"], x["south"], x["east"], x["north"], cell))).withColumn("cx", F.col("_cell.cx")).withColumn("cy", F.col("_cell.cy")).drop("_cell")
     pairs = split(shapes.select(shape_id, shape), a).join(split(polygons.select(polygon_id, polygon), b), ["cx", "cy"])
     # Both meet first in one cell: that of the larger west and south of their boxes.
     wx = F.pmod(grid.square_index(F.greatest(a["west"], b["west"]), cell), F.lit(_turns(cell)))
     wy = grid.square_index(F.greatest(a["south"], b["south"]), cell)
-    once = pairs.where((F.col("cx") == wx) & (F.col("cy") == wy)).where(geo.intersects(shape, polygon)).select(shape_id, polygon_id)
-    return once.join(shapes, shape_id).join(polygons, polygon_id)
+    return pairs.where((F.col("cx") == wx) & (F.col("cy") == wy)).where(geo.intersects(shape, polygon)).select(shape_id, polygon_id)

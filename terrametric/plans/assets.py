@@ -133,15 +133,16 @@ def sv_first_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_tables("observations", body="""
-SELECT DISTINCT 'track-' || asset_key AS track_id, printf('%.6f,%.6f', longitude, latitude) AS place, observation_id, gcs_uri AS signed_url, capture_time FROM observations WHERE asset_key % 10 = 0"""))
+SELECT DISTINCT 'track-' || asset_key AS track_id, printf('%.6f,%.6f', longitude, latitude) AS place, observation_id, gcs_uri AS signed_url, capture_time FROM observations"""))
 def sv_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tracks unnested, joined with their images and metadata; the SQL states them for every tenth key only."""
+    """All tracks unnested, joined with their images and metadata."""
     o = tables.observations(spark, sf_dir)
     tracks = o.groupBy("asset_key", "location").agg(F.collect_set("observation_id").alias("ids"))
     flat = tracks.select(F.concat(F.lit("track-"), "asset_key").alias("track_id"), F.format_string("%.6f,%.6f", F.col("location.longitude"), F.col("location.latitude")).alias("place"), F.explode("ids").alias("observation_id"))
-    urls = o.select("observation_id", F.col("gcs_uri").alias("signed_url")).distinct()
-    times = o.select("observation_id", "capture_time").distinct()
-    return flat.join(urls, "observation_id").join(times, "observation_id").select("track_id", "place", "observation_id", "signed_url", "capture_time")
+    # Both tables have the observation's id: their rows meet in one aggregation and one join.
+    known = o.groupBy("observation_id").agg(F.collect_set("gcs_uri").alias("urls"), F.collect_set("capture_time").alias("times"))
+    joined = flat.join(known, "observation_id").withColumn("signed_url", F.explode("urls")).withColumn("capture_time", F.explode("times"))
+    return joined.select("track_id", "place", "observation_id", "signed_url", "capture_time")
 
 
 @query(with_tables("observations", body="""

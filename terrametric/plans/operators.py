@@ -88,7 +88,7 @@ def op_regularized(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.id AS area_id, count(*) AS segments FROM segments s JOIN areas a ON s.lng <= a.east AND s.lng + 0.002::DOUBLE >= a.west AND s.lat BETWEEN a.south AND a.north GROUP BY 1"""))
 def op_spatial_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that meet each area: a join on grid cells, each pair once."""
-    s = tables.segments(spark, sf_dir).withColumn("segment_id", F.monotonically_increasing_id())
+    s = tables.segments(spark, sf_dir).withColumn("segment_id", F.xxhash64("geometry"))
     pairs = crossing_polygons(s.select("segment_id", F.col("geometry").alias("line")), tables.areas(spark, sf_dir).select(F.col("id").alias("area_id"), "geometry"), "line", "geometry", "segment_id", "area_id")
     return pairs.groupBy("area_id").agg(F.count("*").alias("segments"))
 

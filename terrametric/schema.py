@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 POINT = "struct<lng:double,lat:double>"
-#: Points, lines and rings alike are lists of points; polygons list their outer ring and holes.
+#: Points, lines and rings alike are lists of points; a polygon lists its outer ring and then its holes.
+#: Of several polygons outer rings run counter-clockwise and holes clockwise, each hole after its polygon's outer ring.
 GEOMETRY = f"struct<kind:string,parts:array<array<{POINT}>>>"
 LOCATION = "struct<latitude:double,longitude:double>"
 PERIODS = "array<struct<start_time:int,end_time:int>>"

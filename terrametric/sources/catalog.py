@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import civil
@@ -42,15 +42,17 @@ def scan_latest(spark: SparkSession, path: str, column: str = "record_date") ->
 
 
 def partition_inventory(spark: SparkSession, path: str, table: str, column: str | None = None) -> DataFrame:
-    """Per partition rows, bytes and last modification.
+    """Per partition rows, bytes and last modification; the bytes add up to those of the files.
 
-    Sizes and times come from the files' metadata columns, rows from Parquet
-    footers through a count that reads no column.
+    Sizes and times come from the files' metadata columns. A file with rows of
+    several partitions counts for each by its share of the file's rows.
     """
     df = spark.read.parquet(path)
     day = F.date_format(column, "yyyyMMdd") if column and dict(df.dtypes)[column] != "string" else F.col(column) if column else F.lit("__UNPARTITIONED__")
     files = df.groupBy(F.coalesce(day, F.lit("__NULL__")).alias("partition_id"), F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.first("_metadata.file_size").alias("bytes"), F.max("_metadata.file_modification_time").alias("modified"))
-    out = files.groupBy("partition_id").agg(F.sum("rows").alias("total_rows"), F.sum("bytes").alias("total_logical_bytes"), F.max("modified").alias("last_modified_time"))
+    whole = F.sum("rows").over(Window.partitionBy("file"))
+    shared = files.withColumn("bytes", F.col("bytes") * F.col("rows") / whole)
+    out = shared.groupBy("partition_id").agg(F.sum("rows").alias("total_rows"), F.round(F.sum("bytes")).cast("long").alias("total_logical_bytes"), F.max("modified").alias("last_modified_time"))
     return out.select(F.lit(table).alias("table_name"), "partition_id", "total_rows", "total_logical_bytes", F.col("total_logical_bytes").alias("total_billable_bytes"), "last_modified_time", F.lit("ACTIVE").alias("storage_tier"))
 
 
@@ -76,16 +78,46 @@ def job_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def registered(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and views of the session's catalogue, with their kinds; a row each."""
-    rows = [(t.namespace[-1] if t.namespace else "", t.name, "VIEW" if t.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE", t.description) for t in spark.catalog.listTables(database)]
-    return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string, description string")
+    """Tables and views of the session's catalogue, with their kinds and the texts that define views; a row each."""
+    rows = []
+    for t in spark.catalog.listTables(database):
+        view = t.tableType in ("VIEW", "TEMPORARY")
+        name = ".".join(f"`{x}`" for x in [*(t.namespace or []), t.name])
+        known = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()} if view else {}
+        rows.append((t.namespace[-1] if t.namespace else "", t.name, "VIEW" if view else "BASE TABLE", t.description, known.get("View Text")))
+    return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string, description string, view_definition string")
+
+
+def create_dataset(spark: SparkSession, name: str, comment: str = "") -> None:
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` COMMENT {_quoted(comment)}")
+
+
+def drop_dataset(spark: SparkSession, name: str, with_tables: bool = False) -> None:
+    """Tables in it are an error unless they are to go too."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{name}` {'CASCADE' if with_tables else 'RESTRICT'}")
+
+
+def create_table(spark: SparkSession, name: str, schema: str, partition_by: str, cluster_by: str, buckets: int = 64) -> None:
+    """An empty table with a partition column, its rows bucketed and sorted by the cluster key."""
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet PARTITIONED BY (`{partition_by}`) CLUSTERED BY (`{cluster_by}`) SORTED BY (`{cluster_by}`) INTO {int(buckets)} BUCKETS")
+
+
+def back_up(spark: SparkSession, tables: list[str], dataset: str, suffix: str = "") -> list[str]:
+    """Full copies of tables in another dataset, replaced if they are there; returns their names."""
+    names = [f"{dataset}.{t.rpartition('.')[2]}{suffix}" for t in tables]
+    for source, copy in zip(tables, names, strict=True):
+        spark.table(source).write.mode("overwrite").saveAsTable(copy)
+    return names
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def create_view(spark: SparkSession, name: str, sql: str, columns: dict[str, str], comment: str) -> None:
     """A view with described columns; sql must name its tables in the catalogue."""
-    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    listed = ", ".join(f"`{c}` COMMENT {quoted(d)}" for c, d in columns.items())
-    spark.sql(f"CREATE OR REPLACE VIEW `{name}` ({listed}) COMMENT {quoted(comment)} AS {sql}")
+    listed = ", ".join(f"`{c}` COMMENT {_quoted(d)}" for c, d in columns.items())
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` ({listed}) COMMENT {_quoted(comment)} AS {sql}")
 
 
 class Materialized:
@@ -130,22 +162,40 @@ def drop_old_partitions(spark: SparkSession, path: str, keep_from: str, column:
 _READS = re.compile(r"^\s*(?:\(|SELECT\b|WITH\b|VALUES\b|FROM\b|TABLE\b)", re.I)
 
 
+#: Functions that run code of the JVM by name.
+_REFLECTS = re.compile(r"\b(?:try_reflect|reflect|java_method)\s*\(", re.I)
+
+
 def read_only_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """Runs a query; refuses commands, by its first word and by what the parser makes of it."""
+    """Runs a query over tables and views of the catalogue.
+
+    Refused are commands, by the first word and by what the parser makes of it;
+    files named by their path, which are no part of the catalogue; and functions
+    that call any method of the JVM.
+    """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     names = plan.treeString()
     if not _READS.match(sql) or re.search(r"(?m)^\W*(?:Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Command|Set|Replace|Append|Overwrite|Load|Cache|Refresh)\w*\b", names):
         raise PermissionError("only queries may run here")
-    return spark.sql(sql)
-
-
-def untouched_partitions(df: DataFrame, column: str = "record_date") -> bool:
-    """Whether the plan reads a partitioned table without a filter on its partitions."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return any(f"PartitionFilters: [{x}]" in plan for x in ("",)) and column in plan
+    # A relation is named in the catalogue or by the query itself; `format`.`path` is neither.
+    for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", names):
+        parts = [x.strip() for x in relation.split(",")]
+        if len(parts) > 1 and not spark.catalog.tableExists(".".join(f"`{x}`" for x in parts)) or any("/" in x or "\\" in x for x in parts):
+            raise PermissionError(f"no table of the catalogue: {relation}")
+    df = spark.sql(sql)
+    if _REFLECTS.search(sql) or "CallMethodViaReflection" in df._jdf.queryExecution().analyzed().toJSON():
+        raise PermissionError("only queries without calls into the JVM may run here")
+    return df
 
 
 def capped(df: DataFrame, limit: int = 100_000) -> tuple[list, bool]:
     """At most so many rows for a screen, and whether there are more."""
     rows = df.limit(limit + 1).collect()
     return rows[:limit], len(rows) > limit
+
+
+def to_pandas(df: DataFrame, limit: int = 1_000_000):
+    """A result for a notebook; more rows than the limit is an error, as they would all go to the driver."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows; aggregate or write them first")
+    return df.toPandas()

@@ -145,6 +145,20 @@ def annotation_lines(images: DataFrame, uri: str = "gcs_uri", labels: str = "lab
     return images.where(F.size(labels) > 0).select(line.alias("value"))
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header and no index; geometries are written as WKT."""
+    text = [geo.as_text(c).alias(c) if kind == GEOMETRY else F.col(f"`{c}`") for c, kind in df.dtypes]
+    df.select(*text).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv_with_wkt(spark: SparkSession, path: str, schema: str, geometry: str = "location") -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows of a CSV file with a header whose geometry column is parsed from WKT, and rows where that fails."""
+    df = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    parsed = df.withColumn("_g", geo.from_text(geometry))
+    good = parsed.where("_g is not null").withColumn(geometry, F.col("_g")).drop("_g")
+    return good, parsed.where("_g is null").drop("_g")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -1,6 +1,8 @@
 """Laws and known values of the scalar, civil and spatial functions."""
 
 import datetime
+import json
+import struct
 import importlib.util
 import math
 
@@ -83,6 +85,54 @@ def test_wkt_and_geojson(spark):
     assert [r["b"] for r in sizes] == [21, 9 + 48, 9 + 4 + 80 + 4 + 80, 9 + 2 * (9 + 32)]
 
 
+TWO = "MULTIPOLYGON(((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1), (3 3, 3.5 3, 3.5 3.5, 3 3)), ((10 10, 12 10, 12 12, 10 10)))"
+
+
+def test_several_polygons_keep_their_rings(spark):
+    """Rings given in any direction come back grouped, in every form."""
+    r = spark.range(1).withColumn("g", geo.from_text(F.lit(TWO))).select("g", geo.as_text("g").alias("wkt"), geo.as_geojson("g").alias("json"), geo.as_binary("g").alias("wkb"), geo.as_geojson(geo.exterior("g")).alias("outer"), *[geo.contains("g", F.lit(x), F.lit(x)).alias(f"in{k}") for k, x in enumerate((0.5, 1.5, 11.0, 3.3))]).first()
+    coordinates = json.loads(r["json"])["coordinates"]
+    assert [len(p) for p in coordinates] == [3, 1] and [len(p) for p in json.loads(r["outer"])["coordinates"]] == [1, 1]
+    assert sorted(map(tuple, coordinates[0][0])) == sorted([(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)])
+    assert geo.parse_wkt(r["wkt"]) == geo.parse_wkt(TWO) == geo.parse_geojson(r["json"])
+    assert (r["in0"], r["in1"], r["in2"]) == (True, False, True)
+    wkb, rings = bytes(r["wkb"]), []
+    kind, n = struct.unpack_from("<II", wkb, 1)
+    at = 9
+    for _ in range(n):
+        _, own, count = struct.unpack_from("<BII", wkb, at)
+        assert own == 3
+        at += 9
+        rings.append(count)
+        for _ in range(count):
+            at += 4 + 16 * struct.unpack_from("<I", wkb, at)[0]
+    assert (kind, rings, at) == (6, [3, 1], len(wkb))
+
+
+def test_simplified_polygons_keep_their_rings(spark):
+    r = spark.range(1).withColumn("g", geo.from_text(F.lit(TWO.replace("4 4, 4 0", "4 4, 4 2, 4 0")))).select(geo.simplify("g", 1000.0).alias("s")).first()["s"]
+    assert {"kind": r["kind"], "parts": [[p.asDict() for p in part] for part in r["parts"]]} == geo.parse_wkt(TWO)
+
+
+def test_points_and_lines_in_every_form(spark):
+    for text in ("MULTIPOINT((1 2), (3 4))", "MULTIPOINT(1 2, 3 4)", "MULTILINESTRING((0 0, 1 0), (5 5, 6 6))", "POINT(1 2)", "LINESTRING(0 0, 1 1)", "POLYGON((0 0, 4 0, 4 4, 0 0))"):
+        r = spark.range(1).withColumn("g", geo.from_text(F.lit(text))).select(geo.as_text("g").alias("wkt"), geo.as_geojson("g").alias("json")).first()
+        assert geo.parse_wkt(r["wkt"]) == geo.parse_geojson(r["json"]) == geo.parse_wkt(text)
+
+
+def test_shapes_that_hold_each_other_meet(spark):
+    boxes = {"large": (0, 0, 10, 10), "small": (4, 4, 5, 5), "beside": (11, 11, 12, 12), "across": (9, 9, 11, 11)}
+    names = list(boxes)
+    got = one(spark, *[geo.intersects(geo.rectangle(*boxes[a]), geo.rectangle(*boxes[b])) for a in names for b in names])
+    meets = lambda p, q: p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    assert got == tuple(meets(boxes[a], boxes[b]) for a in names for b in names)
+
+
+def test_parsed_times(spark):
+    got = one(spark, civil.parse_timestamp(F.lit("20251101")), civil.parse_timestamp(F.lit("x")), civil.parse_timestamp(F.lit("2025-11-01 10"), "yyyy-MM-dd HH"))
+    assert got == (datetime.datetime(2025, 11, 1), None, datetime.datetime(2025, 11, 1, 10))
+
+
 def test_containment_and_crossing(spark):
     shape = geo.from_text(F.lit("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"))
     df = spark.range(1).withColumn("g", shape)

@@ -4,11 +4,13 @@ import datetime
 import json
 import os
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrametric import schema
+from terrametric.functions import geo
 from terrametric.ml import inference
 from terrametric.sources import catalog, files
 from terrametric.streaming import feed
@@ -193,3 +195,75 @@ def test_job_log(spark, tmp_path):
     (r,) = catalog.job_log(spark, str(tmp_path / "log")).collect()
     assert (r["job_id"], r["user_email"], r["query"], r["statement_type"], r["total_bytes_processed"]) == ("app-1_3", "ann", "SELECT 1", "SELECT", 15)
     assert r["creation_time"] == datetime.datetime(2023, 11, 14, 22, 13, 20)
+
+
+def test_inventory_adds_up_to_the_files(spark, tmp_path):
+    """Days that share files share their bytes by rows; folders are whole partitions."""
+    rows = [(d, i, "x" * (50 * d)) for d in range(1, 4) for i in range(100 * d)]
+    df = spark.createDataFrame(rows, "day int, n int, t string").withColumn("at", F.expr("date_add(date'2025-01-01', day)"))
+    df.coalesce(2).write.parquet(f"{tmp_path}/flat")
+    df.write.partitionBy("day").parquet(f"{tmp_path}/folders")
+    size = lambda p: sum(f.stat().st_size for f in Path(p).rglob("*.parquet"))
+    for path, column in ((f"{tmp_path}/flat", "at"), (f"{tmp_path}/flat", None), (f"{tmp_path}/folders", "at")):
+        found = catalog.partition_inventory(spark, path, "t", column).collect()
+        assert abs(sum(r["total_logical_bytes"] for r in found) - size(path)) <= len(found)
+        assert sorted(r["total_rows"] for r in found) == ([100, 200, 300] if column else [600])
+    by_day = {r["partition_id"]: r["total_logical_bytes"] for r in catalog.partition_inventory(spark, f"{tmp_path}/folders", "t", "at").collect()}
+    assert all(abs(by_day[f"2025010{d + 1}"] - size(f"{tmp_path}/folders/day={d}")) <= 1 for d in (1, 2, 3))
+
+
+def test_lineage_reads_the_definitions_of_views(spark):
+    from terrametric.plans.engineering import bqa3_derived_resources
+
+    spark.sql("CREATE TABLE IF NOT EXISTS historical_travel_time (a INT) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS road_copy (a INT) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS other (a INT) USING parquet")
+    catalog.create_view(spark, "delays", "SELECT a FROM historical_travel_time WHERE a > 1", {"a": "it's a"}, "no name of a source here")
+    catalog.create_view(spark, "unrelated", "SELECT a FROM other", {"a": "a"}, "mentions historical_travel_time")
+    try:
+        got = {(r["resource_name"], r["type"], r["lineage_detail"]) for r in bqa3_derived_resources(spark, "").collect()}
+        assert {("delays", "VIEW", "SELECT a FROM historical_travel_time WHERE a > 1"), ("road_copy", "BASE TABLE", "see the table's own metadata")} == got
+    finally:
+        for kind, name in (("VIEW", "delays"), ("VIEW", "unrelated"), ("TABLE", "historical_travel_time"), ("TABLE", "road_copy"), ("TABLE", "other")):
+            spark.sql(f"DROP {kind} {name}")
+
+
+def test_datasets_tables_and_copies(spark):
+    catalog.create_dataset(spark, "study", "it's a study")
+    catalog.create_table(spark, "study.visits", "route STRING, at TIMESTAMP, day DATE", "day", "route", 4)
+    spark.sql("INSERT INTO study.visits SELECT 'a', timestamp'2025-01-01 10:00:00', date'2025-01-01'")
+    catalog.create_dataset(spark, "kept")
+    assert catalog.back_up(spark, ["study.visits"], "kept", "_old") == ["kept.visits_old"]
+    assert catalog.back_up(spark, ["study.visits"], "kept", "_old") == ["kept.visits_old"] and spark.table("kept.visits_old").count() == 1
+    assert {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED study.visits").collect()}["Num Buckets"] == "4"
+    with pytest.raises(Exception, match="(?i)not.empty|cannot"):
+        catalog.drop_dataset(spark, "study")
+    for name in ("study", "kept"):
+        catalog.drop_dataset(spark, name, with_tables=True)
+    assert not {"study", "kept"} & {d.name for d in spark.catalog.listDatabases()}
+
+
+@pytest.mark.parametrize("sql", ["SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'lineSeparator')", "SELECT try_reflect ('java.lang.System', 'lineSeparator')", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM json.`x`"])
+def test_guard_refuses_files_and_reflection(spark, sql):
+    with pytest.raises(PermissionError):
+        catalog.read_only_sql(spark, sql)
+
+
+def test_guard_lets_queries_pass(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert catalog.read_only_sql(spark, "WITH t AS (SELECT id FROM three) SELECT count(*) AS n FROM t JOIN three USING (id)").first()["n"] == 3
+
+
+def test_csv_with_geometries(spark, tmp_path):
+    df = spark.createDataFrame([("s1", 7.5, "POINT(-0.1 51.5)"), ("s, 2", 1.0, "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)))")], "store_id string, score double, location string")
+    files.write_csv(df.withColumn("location", geo.from_text("location")), f"{tmp_path}/out")
+    Path(f"{tmp_path}/out/bad.csv").write_text("store_id,score,location\ns3,2.0,nowhere\n")
+    good, bad = files.read_csv_with_wkt(spark, f"{tmp_path}/out", "store_id string, score double, location string")
+    assert sorted((r["store_id"], r["score"], r["location"]["kind"]) for r in good.collect()) == [("s, 2", 1.0, "MultiPolygon"), ("s1", 7.5, "Point")]
+    assert [r["store_id"] for r in bad.collect()] == ["s3"]
+
+
+def test_to_pandas_is_bounded(spark):
+    assert catalog.to_pandas(spark.range(5))["id"].tolist() == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        catalog.to_pandas(spark.range(5), limit=4)
