@@ -12,10 +12,16 @@ same candidate and a smaller original; those refused derive another one in the
 next round, until all are settled. Rounds are joins and aggregations over
 distinct entities; nothing about single entities reaches the driver.
 
-Names are split into first names and surnames. A title or a listed first name
-starts a name; its surname and first name are then replaced wherever else they
-stand in that document. Surrogate names are built from syllables with an
-ending that suits the gender, in the script of the original.
+Names are split into first names and surnames. A title, a listed first name or
+a phrase such as "my name is" starts a name; its surname and first name are
+then replaced wherever else they stand in that document. Surrogate names are
+built from syllables with an ending that suits the gender, which first names,
+titles and the endings of Slavic and Greek surnames tell, in the script of the
+original; in scripts without syllables here, from its letters. Capitalised
+words without such a sign are no names: headings and places are left alone, as
+are runs of hexadecimal digits without a word that says they are secret.
+
+A shape of which all candidates are taken grows longer, digit by digit.
 
 Defined results: null text stays null; texts without entities stay as they are;
 rows that share id and text are treated alike; a null id is a value of its own;
@@ -25,8 +31,10 @@ one named like a result column. Where kinds overlap, the one listed first in KIN
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
+import itertools
 import re
 import unicodedata
 from bisect import bisect
@@ -49,7 +57,8 @@ FIRST_NAMES = {
 }
 _SYLLABLES = {
     "latin": ("ba be bi bo bra da de di do dre fa fe fi ga ge go gra ha he ho ja jo ka ke ki kla la le li lo ma me mi mo na ne ni no pa pe pi ra re ri ro sa se si so sta ta te ti to tra va ve vi wa we wi za".split(), {"m": ("n", "r", "s", "k", "rd", "ld"), "f": ("a", "ia", "na", "ella", "ine"), "n": ("n", "l", "r"), "last": ("son", "ley", "man", "ner", "sen", "ton", "berg")}),
-    "cyrillic": ("ба бе ви во га да де жа за зи ка ки ко ла ле ли ма ме ми на не ни но па пе ра ре ри ро са се си та те ти то фа фе ха".split(), {"m": ("н", "р", "с", "й"), "f": ("на", "ия", "ла"), "n": ("н", "л"), "last": ("енко", "ский", "ук", "ян")}),
+    "greek": ("βα βε γα γι δα δη ζα θε κα κο λα λε μα μι να νι πα πε ρα ρο σα σι τα τε φα χα".split(), {"m": ("ς", "ης", "ος"), "f": ("α", "η", "ία"), "n": ("ν", "ς"), "last-m": ("όπουλος", "ίδης", "άκης"), "last-f": ("οπούλου", "ίδου", "άκη"), "last": ("όπουλος", "ίδης", "άκης")}),
+    "cyrillic": ("ба бе ви во га да де жа за зи ка ки ко ла ле ли ма ме ми на не ни но па пе ра ре ри ро са се си та те ти то фа фе ха".split(), {"m": ("н", "р", "с", "й"), "f": ("на", "ия", "ла"), "n": ("н", "л"), "last-m": ("ов", "ев", "ин", "ский"), "last-f": ("ова", "ева", "ина", "ская"), "last": ("енко", "ук", "ян")}),
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -69,7 +78,7 @@ _GENDER = {t: g for g, ts in [*TITLES.items(), *FIRST_NAMES.items()] for t in ts
 #: What is found, in order of precedence. A group named v is the part that is replaced.
 KINDS: dict[str, re.Pattern] = {
     "email": re.compile(r"[\w.%+-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}"),
-    "secret": re.compile(r"""(?i:\b(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\b)["']?\s*[:=]\s*["']?(?P<v>[^\s"'<>,;]{6,})|(?P<v2>\bAKIA[0-9A-Z]{16}\b)|(?P<v3>\b[0-9a-f]{32,}\b)"""),
+    "secret": re.compile(r"""(?i:\b(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\b)["']?\s*[:=]\s*["']?(?P<v>[^\s"'<>,;]{6,})|(?P<v2>\bAKIA[0-9A-Z]{16}\b)"""),
     # Without a digit a compressed form may as well be a name in code, such as a::b.
     "ipv6": re.compile(rf"(?<![\w:.])(?:(?=[0-9A-Fa-f:]*[0-9])(?:{_IPV6})|(?:{_HEX}:){{7}}{_HEX})(?![\w:]|\.\d)", re.ASCII),
     "ip": re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
@@ -78,7 +87,11 @@ KINDS: dict[str, re.Pattern] = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "phone": re.compile(r"(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
 }
-_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(_ALL_TITLES)})\.?[ ](?P<rest>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<first>{'|'.join(_ALL_FIRST)})[ ](?P<last>{_NAME}))")
+#: Phrases after which a person is named.
+_CALLED = r"(?:[Mm]y name is|[Nn]ame\s*[:=]|[Dd]ear|[Ss]igned(?: by)?:?|[Ss]incerely,?|[Rr]egards,?|[Aa]ttn:?|[Cc]ontact:|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут|[Νν]α σας συστηθώ:?)"
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(_ALL_TITLES)})\.?[ ](?P<rest>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<first>{'|'.join(_ALL_FIRST)})[ ](?P<last>{_NAME})|{_CALLED}\s+(?P<called>{_NAME}(?:[ ]{_NAME}){{1,2}}))")
+#: Endings of surnames that tell the gender, by script.
+_SURNAMES = {"cyrillic": {"f": ("ова", "ева", "ёва", "ина", "ына", "ская", "цкая", "ая"), "m": ("ов", "ев", "ёв", "ин", "ын", "ский", "цкий", "ой", "ий")}, "greek": {"f": ("ου",), "m": ("ος", "ης", "ας")}}
 #: What every text holds that has a mention of the kind: a cheap test before the pattern.
 _TWO_DIGITS = re.compile(r"\d\d").search
 _NEEDS = {"email": lambda t: "@" in t, "ipv6": lambda t: "::" in t or t.count(":") > 5, "ip": re.compile(r"\d\.\d").search, "iban": _TWO_DIGITS, "card": _TWO_DIGITS, "ssn": _TWO_DIGITS, "phone": _TWO_DIGITS}
@@ -93,7 +106,23 @@ class Mention:
 
 
 def _script(s: str) -> str:
-    return "cyrillic" if "CYRILLIC" in unicodedata.name(s[0], "") else "latin"
+    """The script of the first letter, as its Unicode name tells it; one word in lower case."""
+    name = unicodedata.name(s[0], "LATIN").partition(" ")[0].partition("-")[0].lower()
+    return "latin" if name in ("digit", "fullwidth") else name
+
+
+def _named(word: str) -> bool:
+    """Whether a word can be a name: it begins with a capital, or in a script that has none is short."""
+    return word[0].isupper() or word[0].isalpha() and word[0].lower() == word[0].upper() and len(word) <= 4
+
+
+def _surname(word: str) -> str:
+    """The kind of a surname: its script, and its gender where the ending tells it."""
+    script = _script(word)
+    for gender, endings in _SURNAMES.get(script, {}).items():
+        if word.lower().endswith(endings):
+            return f"last-{gender}-{script}"
+    return f"last-{script}"
 
 
 def canonical(kind: str, s: str) -> str:
@@ -115,16 +144,23 @@ def _people(text: str) -> Iterator[Mention]:
     for m in _PERSON.finditer(text):
         if m["title"]:
             words = [w for w in m["rest"].split(" ")]
-            names = words[: next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))]
+            names = words[: next((i for i, w in enumerate(words) if not _named(w)), len(words))]
             if not names:
                 continue
             gender = _GENDER[m["title"]]
             for first in names[:-1]:
                 parts.setdefault(first, f"first-{_GENDER.get(first, gender)}-{_script(first)}")
-            parts.setdefault(names[-1], f"last-{_script(names[-1])}")
+            parts.setdefault(names[-1], _surname(names[-1]))
+        elif m["called"]:
+            words = m["called"].split(" ")
+            names = words[: next((i for i, w in enumerate(words) if not _named(w)), len(words))]
+            if len(names) > 1:
+                for first in names[:-1]:
+                    parts.setdefault(first, f"first-{_GENDER.get(first, 'n')}-{_script(first)}")
+                parts.setdefault(names[-1], _surname(names[-1]))
         elif m["last"][0].isupper():
             parts.setdefault(m["first"], f"first-{_GENDER[m['first']]}-{_script(m['first'])}")
-            parts.setdefault(m["last"], f"last-{_script(m['last'])}")
+            parts.setdefault(m["last"], _surname(m["last"]))
     if parts:
         for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b", text):
             yield Mention(parts[m.group()], m.group().lower(), m.start(), m.end())
@@ -139,7 +175,7 @@ def mentions(text: str | None) -> list[Mention]:
         if kind in _NEEDS and not _NEEDS[kind](text):
             continue
         for m in pattern.finditer(text):
-            a, b = next(m.span(g) for g in ("v", "v2", "v3") if m[g]) if kind == "secret" else m.span()
+            a, b = next(m.span(g) for g in ("v", "v2") if m[g]) if kind == "secret" else m.span()
             found.append(Mention(kind, canonical(kind, text[a:b]), a, b))
     found += _people(text)
     rank = {k: i for i, k in enumerate(KINDS)}
@@ -173,6 +209,17 @@ def _iban_rest(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
+@functools.cache
+def _block(start: int, category: str) -> str:
+    return "".join(c for c in map(chr, range(start, start + 128)) if unicodedata.category(c) == category and unicodedata.name(c, "") and c.lower() == c)
+
+
+def _letters(c: str) -> str:
+    """Letters of a letter's script: of its block of 128 characters, or the usual ones."""
+    known = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}.get(_script(c))
+    return known or _block(ord(c) // 128 * 128, unicodedata.category(c)) or c
+
+
 def _alike(s: str, draw: _Stream) -> str:
     """Letters for letters of the same case and digits for digits; all else stays."""
     out = []
@@ -184,15 +231,40 @@ def _alike(s: str, draw: _Stream) -> str:
         elif c.isdigit():
             out.append(draw.pick("0123456789"))
         elif c.isalpha():
-            x = draw.pick("abcdefghijklmnopqrstuvwxyz" if _script(c) == "latin" else "абвгдежзиклмнопрстуфхцчшэюя")
+            x = draw.pick(_letters(c.lower()))
             out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
     return "".join(out)
 
 
+#: Attempts after which a shape counts as full and candidates grow longer.
+FULL = 24
+
+
 def surrogate(kind: str, original: str, key: bytes, attempt: int) -> str:
-    """A candidate in canonical form, of the original's shape."""
+    """A candidate in canonical form, of the original's shape; from the attempt FULL on of a longer shape.
+
+    A longer shape has a letter or digit more at each further attempt, so that
+    there is always one that is free. Addresses, which cannot be longer, are
+    then drawn from those that no network has, with as many figures more.
+    """
+    candidate = _shaped(kind, original, key, attempt)
+    if attempt < FULL:
+        return candidate
+    draw, n = _Stream(key, "longer", kind, original, attempt), attempt - FULL + 1
+    if kind == "email":
+        return "".join(draw.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) + candidate
+    if kind == "ip":
+        return f"0.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}" + "".join(str(draw.below(10)) for _ in range(n))
+    if kind == "ipv6":
+        return "0000" + candidate[4:] + "".join(draw.pick("0123456789abcdef") for _ in range(n))
+    if kind.startswith(("first", "last")):
+        return "".join(draw.pick(_letters(candidate[0])) for _ in range(n)) + candidate
+    return candidate + "".join(str(draw.below(10)) for _ in range(n))
+
+
+def _shaped(kind: str, original: str, key: bytes, attempt: int) -> str:
     draw = _Stream(key, kind, original, attempt)
     if kind == "email":
         local, _, domain = original.rpartition("@")
@@ -227,8 +299,12 @@ def surrogate(kind: str, original: str, key: bytes, attempt: int) -> str:
             return original[:2] + _alike(original[2:4], draw) + body
         return f"{original[:2]}{98 - _iban_rest(original[:2] + '00' + body):02d}{body}"  # valid as the original is
     if kind.startswith(("first", "last")):
-        syllables, endings = _SYLLABLES[kind.rpartition("-")[2]]
-        own = "last" if kind.startswith("last") else kind.split("-")[1]
+        *role, script = kind.split("-")
+        if script not in _SYLLABLES:  # letters of the same script, one more after some attempts
+            return _alike(original + original[-1] * (attempt > 3), draw)
+        syllables, endings = _SYLLABLES[script]
+        own = "-".join(role) if role[0] == "last" else role[1]
+        own = own if own in endings else "last"
         return "".join(draw.pick(syllables) for _ in range(2 + draw.below(2) + (attempt > 3))) + draw.pick(endings[own])
     return _alike(original, draw)
 
@@ -252,7 +328,7 @@ def _written_ipv6(mention: str, new: str) -> str:
 def written(kind: str, mention: str, new: str) -> str:
     """The surrogate in the notation of a mention."""
     if kind == "ipv6":
-        return _written_ipv6(mention, new)
+        return _written_ipv6(mention, new) if len(new) == 39 else new  # a longer shape is written as it is
     if kind.startswith(("first", "last")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
     if kind == "phone" and (digits := re.sub(r"\D", "", mention)) and len(digits) == len(new) + 1:
@@ -275,26 +351,31 @@ def replaced(text: str, new: dict[tuple[str, str], str]) -> tuple[str, list[tupl
     return "".join([*out, text[at:]]), spans
 
 
-def settled(entities: DataFrame, key: bytes, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct (kind, canonical): no surrogate twice, none that is an original."""
+def settled(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
+    """(kind, canonical, surrogate) for distinct (kind, canonical): no surrogate twice, none that is an original.
+
+    All kinds of names are one space: the surrogate of a first name is no one's
+    surname either. Rounds end, as shapes grow once they are full.
+    """
+    space = F.when(F.col("kind").startswith("first") | F.col("kind").startswith("last"), F.lit("name")).otherwise(F.col("kind")).alias("space")
 
     @F.pandas_udf("string")
     def candidate(kind: pd.Series, original: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, o, key, a) for k, o, a in zip(kind, original, attempt, strict=True)], dtype=object)
 
-    originals = entities.select("kind", F.col("canonical").alias("surrogate"))
+    originals = entities.select(space, F.col("canonical").alias("surrogate")).distinct()
     done, todo = None, entities
-    for k in range(rounds):
-        drawn = scratch.save(todo.select("kind", "canonical", candidate("kind", "canonical", F.lit(k)).alias("surrogate")), f"drawn-{k}")
-        free = drawn.join(originals, ["kind", "surrogate"], "left_anti")
+    for k in itertools.count():
+        drawn = scratch.save(todo.select("kind", "canonical", candidate("kind", "canonical", F.lit(k)).alias("surrogate")).withColumn("space", space), f"drawn-{k}")
+        free = drawn.join(originals, ["space", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done, ["kind", "surrogate"], "left_anti")
-        won = scratch.save(free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")), f"won-{k}")
+            free = free.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        won = free.groupBy("space", "surrogate").agg(F.min(F.struct("canonical", "kind")).alias("w"))
+        won = scratch.save(won.select("space", "surrogate", "w.canonical", "w.kind"), f"won-{k}")
         done = won if done is None else done.unionByName(won)
         todo = scratch.save(drawn.select("kind", "canonical").join(won, ["kind", "canonical"], "left_anti"), f"left-{k}")
         if todo.isEmpty():
-            return done
-    raise RuntimeError(f"surrogates did not settle in {rounds} rounds")
+            return done.select("kind", "canonical", "surrogate")
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:

@@ -94,6 +94,48 @@ def test_an_address_is_found_whatever_else_the_text_holds(text):
     assert [m.kind for m in pii.mentions(text + " and 10 more")] == ["ip"]
 
 
+PEOPLE = [
+    ("Госпожа Иванова пришла", ["last-f-cyrillic"]),
+    ("Господин Иванов пришёл", ["last-m-cyrillic"]),
+    ("Dr Παπαδόπουλος came", ["last-m-greek"]),
+    ("Dr 田中 came", ["last-cjk"]),
+    ("my name is Akira Tanaka and", ["first-n-latin", "last-latin"]),
+    ("Dear Mohammed Ali, welcome", ["first-n-latin", "last-latin"]),
+    ("Name: Wang Wei", ["first-n-latin", "last-latin"]),
+    ("Old Town Hall is in New York", []),
+    ("commit 0123456789abcdef0123456789abcdef01234567", []),
+]
+
+
+@pytest.mark.parametrize("text, kinds", PEOPLE)
+def test_people_are_found_and_keep_script_and_gender(text, kinds):
+    import unicodedata
+
+    found = pii.mentions(text)
+    assert [m.kind for m in found] == kinds
+    new = {(m.kind, m.canonical): pii.surrogate(m.kind, m.canonical, b"key", 0) for m in found}
+    for m in found:
+        out = pii.written(m.kind, text[m.start : m.end], new[m.kind, m.canonical])
+        own = unicodedata.name(text[m.start]).split()[0].split("-")[0]
+        assert {unicodedata.name(c).split()[0].split("-")[0] for c in out if c.isalpha()} == {own}
+        if m.kind.startswith("last-f-cyrillic"):
+            assert out.endswith(("ова", "ева", "ина", "ская"))
+    assert pii.replaced(text, new)[0] != text if found else pii.replaced(text, new)[0] == text
+
+
+def test_full_shapes_grow(spark):
+    """Every short address is an original already, and so are all surrogates of one letter names."""
+    from terrametric.llm.common import Scratch
+
+    rows = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("ssn", "123456789"), ("first-m-latin", "john"), ("last-latin", "john"), ("last-cjk", "田")]
+    got = [tuple(r) for r in pii.settled(spark.createDataFrame(rows, "kind string, canonical string"), b"k", Scratch(spark, "test")).collect()]
+    assert {(k, c) for k, c, _ in got} == set(rows) and len({s for _, _, s in got}) == len(rows)
+    assert not {s for _, _, s in got} & {c for _, c in rows}
+    for k in range(pii.FULL, pii.FULL + 3):  # longer and longer
+        for kind, original in (("ip", "1.2.3.4"), ("ipv6", "2001:0db8:0000:0000:0000:0000:0000:0001"), ("ssn", "123456789"), ("email", "a@b.org"), ("last-latin", "smith")):
+            assert len(pii.surrogate(kind, original, b"k", k + 20)) > len(pii.surrogate(kind, original, b"k", 0))
+
+
 V6 = ["2001:db8::1", "::1", "2001:DB8::", "fe80::1:2", "1:2:3:4:5:6:7::", "1::3:4:5:6:7:8", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8:0:0:0:0:0:1", "::ffff:192.0.2.1", "1:2:3:4:5:6:192.0.2.1", "0::"]
 
 
