@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of `documents`; the text, its length
 and the predicted language replace what a stage changed. The last returns the
-places of all pieces in sequences.
+places of all pieces in sequences. Other columns of the input are left out.
+
+Defined results: documents whose text is null or has no letters have no
+language and go in the first stage, so later ones see none. A null id is a
+value like any other; of rows that share id and text one stays. Rows that are
+alike in all but their ids are one group, of which the smallest id stays. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
