@@ -24,11 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one where it names none."""
+    """The folder all executors share, as the cluster names it; a temporary one where driver and executors are one process."""
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="terrametric-")
         atexit.register(shutil.rmtree, _own_root, True)

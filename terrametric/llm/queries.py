@@ -65,10 +65,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     ops = (op1_best_fit_packing, op2_mixing, op3_metric_join, op4_token_files, op5_pii_surrogates, op6_simhash, op7_quality, op8_language_id, op9_sharding, op10_line_dedup)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
