@@ -184,10 +184,10 @@ def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "first_ts", "last_ts", "events")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 9) AS cosine FROM q, embeddings e)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 9) AS cosine FROM q, embeddings e)
 SELECT query_id, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS nth FROM s) WHERE nth <= 3""")
 def ext_vector_top_k(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """Cosine neighbours of every vector whose id is divisible by 50, among all vectors; the SQL states the first five ids' only."""
+    """Cosine neighbours of every vector whose id is divisible by 50, among all vectors."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
