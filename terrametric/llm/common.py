@@ -9,6 +9,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,24 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks under this key: one object at a time, the next step's in place of the last one's."""
+    if key not in _resident:
+        forget_resident()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def forget_resident() -> None:
+    """Give back what an earlier step keeps in this worker, before a step that keeps nothing."""
+    if _resident:
+        _resident.clear()
+        release_memory()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark would resolve it by, so that other readers find the same place."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

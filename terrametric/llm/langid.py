@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, carried, ready_workers
+from .common import Scratch, carried, ready_workers, resident
 
 UNKNOWN = "und"
 LONGEST_GRAM = 5
@@ -197,9 +197,6 @@ def fitted(docs: DataFrame, max_docs_a_language: int = 1000, max_docs: int = 20_
     return Model(languages, frequencies(words), [frequencies(grams.where(F.length("key") == n)) for n in range(1, LONGEST_GRAM + 1)])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input rows with lang_pred and score."""
     spark = docs.sparkSession
@@ -209,10 +206,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     @F.pandas_udf("struct<lang_pred string, score double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         given = shared.value
-        scorer = _scorers.get(id(given))
-        if scorer is None or scorer.model is not given:
-            _scorers.clear()
-            scorer = _scorers[id(given)] = Scorer(given)
+        # The scorer holds its model, so no other one gets its number meanwhile.
+        scorer = resident(("language", id(given)), lambda: Scorer(given))
         for texts in batches:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, ready_workers
+from .common import carried, forget_resident, ready_workers
 
 WINDOW = 3
 #: Fixed value: what is cut from both ends of a line, ASCII white space but for the line feed.
@@ -45,6 +45,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        forget_resident()
         for batch in batches:
             counts, digests = [], []
             for text in batch.column(2):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, ready_workers
+from .common import Scratch, ready_workers, release_memory
 
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,6 +60,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, kind: str, capacity: int,
             types = {"piece": pa.int32(), "ids": pa.binary()}
             cols = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], names)
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ready_workers, release_memory
+from .common import Scratch, forget_resident, ready_workers, release_memory
 from .components import connected_components
 from .simhash import SEED, WORD, bit_totals, components_of, covering_masks, distances, radius_of, share_within, shingles_of
 
@@ -197,6 +197,7 @@ def nodes_of(docs: DataFrame, cut: Layout, words_a_shingle: int, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget_resident()
         for batch in batches:
             sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, words_a_shingle) for t in batch.column(2)]
             prints = np.array([[xxhash.xxh64_intdigest(s.tobytes(), SEED + k) if len(s) else 0 for k in range(2)] for s in sets], np.uint64).reshape(-1, 2)

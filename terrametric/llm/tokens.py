@@ -16,6 +16,8 @@ import unicodedata
 from array import array
 from itertools import groupby
 
+from .common import resident
+
 #: Pieces remembered at once in a worker, as often again of those before; older ones are made anew.
 MAX_PIECES = 250_000
 #: Pieces of a long text that are looked up between two checks of how many are remembered.
@@ -124,11 +126,6 @@ class Encoder:
         return [self._text(t) for t in texts]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder a worker, kept between tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    return resident(("tokens", path, kind), lambda: Encoder(path, kind))
